@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
 from .ngram_join import jaccard_classes
+from .packing import pack
+from .token_counts import token_counts
+from .token_files import token_files
+
+
+def vocabulary(name: str) -> str:
+    """A public vocabulary file; it is read where it is installed and never copied."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +34,26 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), window=1024, end_id=0)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=2, with_ids=False)
+    return files.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_packing": op4_packing,
+    "op5_token_counts": op5_token_counts,
+    "op8_token_files": op8_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
