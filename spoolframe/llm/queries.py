@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
+from .fingerprints import next_fingerprints
 from .ngram_join import jaccard_classes
 from .packing import pack
+from .secret_scan import secret_report
 from .token_counts import token_counts
 from .token_files import token_files
 
@@ -48,12 +50,22 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return next_fingerprints(documents(spark, sf_dir))
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
     "op8_token_files": op8_token_files,
+    "op9_document_fingerprints": op9_document_fingerprints,
+    "op10_secret_scans": op10_secret_scans,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -77,4 +89,26 @@ WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM t""",
+    "op10_secret_scans": r"""
+WITH t AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id, text) AS rid, coalesce(source, '') AS owner, coalesce(text, '') AS x FROM documents),
+m AS (
+  SELECT rid, 'assign' AS kind, 0 AS rank, 6 AS fewest, string_split_regex(x, '(?i:(password|passwd|secret|token|api_?key))["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)') AS g, regexp_extract_all(x, '(?i:(password|passwd|secret|token|api_?key))["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)') AS w,
+         regexp_extract_all(x, '(?i:(password|passwd|secret|token|api_?key))["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 2) AS v FROM t
+  UNION ALL SELECT rid, 'access', 1, 20, string_split_regex(x, 'AKIA[A-Z0-9]+'), regexp_extract_all(x, 'AKIA[A-Z0-9]+'), regexp_extract_all(x, 'AKIA[A-Z0-9]+') FROM t
+  UNION ALL SELECT rid, 'hex', 2, 24, string_split_regex(x, '[0-9a-f]{24,}'), regexp_extract_all(x, '[0-9a-f]{24,}'), regexp_extract_all(x, '[0-9a-f]{24,}') FROM t
+  UNION ALL SELECT rid, 'live', 3, 32, string_split_regex(x, '[A-Za-z0-9+/_-]{32,}'), regexp_extract_all(x, '[A-Za-z0-9+/_-]{32,}'), regexp_extract_all(x, '[A-Za-z0-9+/_-]{32,}') FROM t),
+i AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM m),
+p AS (
+  SELECT rid, kind, rank, v[i] AS value, (list_sum(list_transform(g[1:i], lambda y: length(y))) + list_sum(list_transform(w[1:i], lambda y: length(y))))::BIGINT AS stop, length(w[i]) AS size
+  FROM i WHERE length(v[i]) >= fewest),
+q AS (SELECT rid, kind, rank, value, stop - size AS start, stop FROM p
+      WHERE kind <> 'live' OR regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]')),
+c AS (SELECT DISTINCT rid, value, stop - length(value) AS start, stop FROM q),
+o AS (SELECT value FROM c JOIN t USING (rid) GROUP BY value HAVING count(DISTINCT owner) <= 1 AND count(DISTINCT rid) <= 3),
+s AS (SELECT rid, kind, rank, start, stop FROM q WHERE kind <> 'live' UNION ALL SELECT rid, 'live', 3, start, stop FROM c WHERE value IN (SELECT value FROM o)),
+a AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+             string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) FILTER (kind <> 'live') AS base,
+             string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) AS spans FROM s GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN a USING (rid)""",
 }
