@@ -4,8 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spoolframe.llm.common import Written
 from spoolframe.llm.exact_dedup import drop_exact
+from spoolframe.llm.mixing import mix_sources
 from spoolframe.llm.ngram_join import one_of_each
+from spoolframe.llm.packing import pack
+from spoolframe.llm.quality import keep_good
+from spoolframe.llm.queries import vocabulary
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for label 0 go."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,16 +28,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return one_of_each(docs, width=5, num=8, den=10)
 
 
-STAGES = [("exact dedup", exact_dedup), ("n-gram Jaccard join", near_duplicates)]
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every source gets the same share; the mixture is as large as what came in."""
+    return mix_sources(docs).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 1024 tokens, with their ids."""
+    return pack(docs, vocabulary("byte_bpe_50k.json"), window=1024, end_id=0)
 
-#: Plain SQL has no packing and no trained classifier; tests hold the stages against brute force.
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("exact dedup", exact_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources", mixing),
+    ("packing", packing),
+]
+
+#: Plain SQL has neither the classifier nor the tokenizer; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over ``documents``; each stage's result is written to the shared folder."""
-    from spoolframe.llm.common import Written
-
+    """All stages in order over ``documents``; each stage's result is written to the shared folder and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id, quality
 from .exact_dedup import exact_groups
 from .fingerprints import next_fingerprints
+from .mixing import mix_sources
 from .ngram_join import jaccard_classes
 from .packing import pack
 from .secret_scan import secret_report
@@ -58,11 +60,29 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(documents(spark, sf_dir))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_id.identify(docs, language_id.train(docs))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.quality_scores(docs, quality.train(docs, labels))
+
+
+def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir)).select("doc_id", "source", "copy", "copies", "order_key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_language_id": op3_language_id,
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op7_mixing_sources": op7_mixing_sources,
     "op8_token_files": op8_token_files,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_secret_scans": op10_secret_scans,
@@ -89,6 +109,16 @@ WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM t""",
+    "op7_mixing_sources": r"""
+WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+r AS (SELECT source, 1.0::DOUBLE / (SELECT count(*) FROM n)::DOUBLE * (SELECT count(*) FROM documents)::DOUBLE / n::DOUBLE AS mean FROM n),
+k AS (SELECT source, j, exp(-mean) * CASE WHEN j = 0 THEN 1 ELSE list_product(list_transform(range(1, j + 1), lambda i: mean / i)) END AS chance
+      FROM r, range(0, 200) t(j)),
+c AS (SELECT source, j, sum(chance) OVER (PARTITION BY source ORDER BY j) AS cum FROM k),
+u AS (SELECT doc_id, source, ('0x' || substr(md5('0|' || coalesce(doc_id::VARCHAR, '') || '|0'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM documents),
+m AS (SELECT doc_id, u.source, (SELECT count(*) FROM c WHERE c.source IS NOT DISTINCT FROM u.source AND c.cum <= u.u) AS copies FROM u),
+x AS (SELECT doc_id, source, copies, unnest(range(0, copies)) AS copy FROM m)
+SELECT doc_id, source, copy, copies, md5('0|' || coalesce(doc_id::VARCHAR, '') || '|' || copy || '|order') AS order_key FROM x""",
     "op10_secret_scans": r"""
 WITH t AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id, text) AS rid, coalesce(source, '') AS owner, coalesce(text, '') AS x FROM documents),
 m AS (
