@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import rules, selection
+from . import relations, rules, selection
 
-MODULES = [selection, rules]
+MODULES = [selection, rules, relations]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
