@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,13 +27,22 @@ def _digest(x: np.ndarray) -> tuple[int, int]:
 
 
 def _margin(n: int) -> int:
-    """Shared prefix shingles beyond the first that a set must have."""
-    return 1 + n // 50
+    """How many of its first steps a set must at least have in common with another."""
+    return 1 + n // 25
 
 
-def _prefix(n: int, num: int, den: int) -> int:
-    """How many of the first ordered shingles two linked sets must share ``_margin`` of."""
-    return min(n, n + (-num * n) // den + _margin(n))
+def _steps(x: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first steps of a set, hashes of neighbours in the global order; steps are the edges of its path in a prefix tree.
+
+    A shingle that only this set has breaks two of its steps, one that only the
+    other has breaks one; linked sets lack so few that at most
+    ``2 * n * (den - num) / den`` steps break. So each of two linked sets has at
+    least the smaller one's ``_margin`` of these first steps in common with the
+    other. Common shingles meet by chance, common steps hardly do.
+    """
+    most = 2 * len(x) * (den - num) // den
+    front = x[: most + _margin(len(x)) + 1]
+    return mix(front[:-1] * np.uint64(0x9E3779B97F4A7C15) + mix(front[1:]))
 
 
 def _size_class(n: int, num: int, den: int) -> tuple[int, int, int]:
@@ -193,27 +203,129 @@ def links_within(members: list[np.ndarray], num: int, den: int) -> list[tuple[in
     return found
 
 
-def _scan(id_col: str, text_col: str, width: int, num: int, den: int):
+def _scan(id_col: str, text_col: str, width: int):
+    """Per document: id, size and digests of its set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in slices(batch, text_col):
                 found = sets(data, offsets, width)
                 digests = [_digest(x) for x in found]
-                front = [x[: _prefix(len(x), num, den)].astype(np.int64) for x in found]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.column(rows.schema.get_field_index(id_col)).cast(pa.int64()),
-                        pa.array([len(x) for x in found], pa.int64()),
-                        pa.array([d[0] for d in digests], pa.int64()),
-                        pa.array([d[1] for d in digests], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, front)]), pa.int32()), pa.array(np.concatenate(front) if front else np.zeros(0, np.int64))),
-                    ],
-                    names=["id", "n", "d1", "d2", "front"],
-                )
+                columns = [rows.column(rows.schema.get_field_index(id_col)).cast(pa.int64()), pa.array([len(x) for x in found], pa.int64())]
+                columns += [pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "d1", "d2"])
+
+    return run
+
+
+#: Steps that a task holds before it combines them; bounds its memory.
+HELD_STEPS = 1_500_000
+
+
+def _deal_steps(text_col: str, width: int, num: int, den: int):
+    """Rows (step, digest, hits): a step of a set that no other set of the task has; steps that sets of the task
+    share are counted for them here (step null), and sent once without a set (digest null), so a common step
+    costs one row a task."""
+
+    def combine(steps: list[np.ndarray], owners: list[tuple[int, int]]) -> pa.RecordBatch:
+        step = np.concatenate(steps)
+        digest = np.repeat(np.array([d for d, _ in owners], np.int64), [n for _, n in owners])
+        order = np.lexsort((digest, step))
+        step, digest = step[order], digest[order]
+        fresh = np.concatenate([[True], (step[1:] != step[:-1]) | (digest[1:] != digest[:-1])])  # copies of a set count once
+        step, digest = step[fresh], digest[fresh]
+        twin = step[1:] == step[:-1]
+        shared = np.concatenate([[False], twin]) | np.concatenate([twin, [False]])
+        common = np.unique(step[shared])
+        who, hits = np.unique(digest[shared], return_counts=True)
+        single = ~shared
+        parts = [(step[single].astype(np.int64), digest[single], None), (common.astype(np.int64), None, None), (None, who, hits)]
+        sizes = [int(single.sum()), len(common), len(who)]
+
+        def column(i: int) -> pa.Array:
+            return pa.concat_arrays([pa.nulls(n, pa.int64()) if p[i] is None else pa.array(p[i], pa.int64()) for p, n in zip(parts, sizes)])
+
+        return pa.RecordBatch.from_arrays([column(0), column(1), column(2)], names=["step", "digest", "hits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps, owners, held = [], [], 0
+        for batch in batches:
+            for _, data, offsets in slices(batch, text_col):
+                for x in sets(data, offsets, width):
+                    got = _steps(x, num, den)
+                    steps.append(got)
+                    owners.append((_digest(x)[0], len(got)))
+                    held += len(got)
+                if held > HELD_STEPS:
+                    yield combine(steps, owners)
+                    steps, owners, held = [], [], 0
+        if held:
+            yield combine(steps, owners)
 
     return run
 
 
+def _packed(digest: np.ndarray, hits: np.ndarray, here: bool, lanes: int) -> pa.RecordBatch:
+    """Counts by digest as one row per lane: (lane, here, digests, hits as bytes)."""
+    lane = (digest.view(np.uint64) % np.uint64(lanes)).astype(np.int64)
+    order = np.argsort(lane, kind="stable")
+    names, first = np.unique(lane[order], return_index=True)
+    parts = [[x[order][i:j].tobytes() for i, j in zip(first, [*first[1:], len(order)])] for x in (digest, hits.astype(np.int64))]
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([here] * len(names)), *(pa.array(p, pa.binary()) for p in parts)], names=["lane", "here", "digests", "hits"])
+
+
+def _count_steps(lanes: int):
+    """In a partition that has all rows of its steps: how many steps of each digest more than one set has.
+
+    Counts made before are passed on. A partition sends a row per lane, not one
+    per digest, so what it sends does not grow with the partitions that a set's
+    steps are spread over.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for batch in batches:
+            there = batch.column(0).is_valid()
+            parts.append(batch.filter(there))
+            rest = batch.filter(pc.invert(there))
+            if len(rest):
+                yield _packed(rest.column(1).to_numpy(), rest.column(2).to_numpy(), True, lanes)
+        if not sum(map(len, parts)):
+            return
+        table = pa.Table.from_batches(parts)
+        step = table.column("step").to_numpy()
+        marked = table.column("digest").is_null().to_numpy()
+        digest = table.column("digest").combine_chunks().fill_null(0).to_numpy()
+        order = np.lexsort((digest, step))
+        step, digest, marked = step[order], digest[order], marked[order]
+        head = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1]]))
+        other = np.concatenate([[False], (step[1:] == step[:-1]) & (digest[1:] != digest[:-1])])
+        shared = np.repeat(np.logical_or.reduceat(other | marked, head), np.diff(np.append(head, len(step))))
+        fresh = np.concatenate([[True], (step[1:] != step[:-1]) | (digest[1:] != digest[:-1])])
+        who, hits = np.unique(digest[shared & fresh & ~marked], return_counts=True)
+        if len(who):
+            yield _packed(who, hits, False, lanes)
+
+    return run
+
+
+def _sum_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per digest of the lanes: the most counted in one task plus all that was counted after."""
+    kept: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {True: [], False: []}
+    for batch in batches:
+        for here, digests, hits in zip(*(c.to_pylist() for c in batch.columns[1:])):
+            kept[here].append((np.frombuffer(digests, np.int64), np.frombuffer(hits, np.int64)))
+    both = [np.concatenate([d for rows in kept.values() for d, _ in rows] or [np.zeros(0, np.int64)])]
+    if not len(both[0]):
+        return
+    names, at = np.unique(both[0], return_inverse=True)
+    most, total = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+    cut = sum(len(d) for d, _ in kept[True])
+    np.maximum.at(most, at[:cut], np.concatenate([h for _, h in kept[True]] or [np.zeros(0, np.int64)]))
+    np.add.at(total, at[cut:], np.concatenate([h for _, h in kept[False]] or [np.zeros(0, np.int64)]))
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(most + total)], names=["digest", "hits"])
+
+
 def _rescan(id_col: str, text_col: str, width: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(wanted.value, np.uint8)
@@ -255,8 +367,9 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10
 
     1. Equal sets become one class each (combinable minimum per set digest), so a
        group of copies costs one row from here on.
-    2. Linked sets share ``_margin`` of their first shingles in the global (hash)
-       order; sets whose first shingles nobody else has are done.
+    2. Linked sets have steps in common (see ``_steps``); sets that have too few
+       in common with others are done. A step is counted where it meets another,
+       in its task or after one shuffle, to which a task sends it once.
     3. The rest, few in a corpus, meet in blocks: the components of sharing a
        signature (see ``signatures``). Nothing is lost, and a common passage
        alone does not bring two documents together.
@@ -272,17 +385,20 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    seen = Written(source.mapInArrow(_scan("id", "text", width, num, den), "id long, n long, d1 long, d2 long, front array<long>"), "shingled")
-    filled = seen.df.where("n > 0")
-    classes = Written(filled.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "sets")
-
-    rows = filled.select("d1", "n", F.explode("front").alias("token"))
-    shared = rows.groupBy("token").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x <> y").select("token")
-    hits = rows.join(shared, "token").groupBy("d1", "n").agg(F.count("*").alias("hits"))
-    # Every copy of a set brings the same hits; a partner may be as small as num/den of this set.
-    enough = F.floor(F.col("n") * num / den / 50) + 1
-    met = classes.df.join(hits, ["d1", "n"]).where(F.col("hits") >= enough * F.col("copies")).select(F.col("rep"), F.col("n"))
-    alive = Written(met, "alive")
+    seen = Written(source.mapInArrow(_scan("id", "text", width), "id long, n long, d1 long, d2 long"), "shingled")
+    classes = Written(seen.df.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "sets")
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    steps = source.select("text").mapInArrow(_deal_steps("text", width, num, den), "step long, digest long, hits long")
+    # One shuffle: rows that are counted already (step null) are spread by their digest.
+    counted = steps.repartition(parts, F.coalesce("step", "digest")).mapInArrow(_count_steps(parts), "lane long, here boolean, digests binary, hits binary")
+    # A set's steps in one of its tasks are either counted there or sent; so the most counted in a task and all counted after bound them.
+    hits = counted.repartition(parts, "lane").mapInArrow(_sum_hits, "digest long, hits long")
+    # A partner may be as small as num/den of the set. Sets so small that all their steps may break stay.
+    enough = F.floor(F.floor(F.col("n") * num / den) / 25) + 1
+    free = F.col("n") - 1 - F.floor(2 * F.col("n") * (den - num) / den) < 1
+    met = classes.df.join(hits, classes.df.d1 == hits.digest, "left").where((F.coalesce("hits", F.lit(0)) >= enough) | free)
+    alive = Written(met.select("rep", "n"), "alive")
 
     wanted = spark.sparkContext.broadcast(_id_filter(alive.df.select("rep")))
     text = source.mapInArrow(_rescan("id", "text", width, wanted), "id long, tokens binary")
