@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import relations, rules, selection
+from . import containers, relations, rules, selection
 
-MODULES = [selection, rules, relations]
+MODULES = [selection, rules, relations, containers]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
