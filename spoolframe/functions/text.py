@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that end a title in a release name.
@@ -86,16 +86,29 @@ def tidy(title: Column, dots: Column) -> Column:
     return F.when(dots, F.btrim(single, F.lit(" .-_:([{)]}"))).otherwise(F.btrim(single, F.lit(" -_:([{)]}")))
 
 
+def _title(clean: Column, dots: Column, mark: Column, when: Column, tag: Column) -> Column:
+    cut = F.least(mark["place"], when["place"], tag)
+    head = F.when(cut.isNotNull(), F.substring(clean, F.lit(1), cut - 1)).otherwise(clean)
+    kind = F.when(mark.isNotNull(), "episode").otherwise("unknown")
+    return F.struct(tidy(head, dots).alias("title"), when["year"].alias("year"), mark["season"].alias("season"), mark["episode"].alias("episode"), kind.alias("kind"))
+
+
 def parse_title(name: Column) -> Column:
     """struct(title, year, season, episode, kind) of a release name; the kind is episode or unknown, never film."""
     dots = ~F.replace(name, F.lit("_"), F.lit(" ")).contains(" ")
     clean = spaced(name)
     mark = episode(clean)
-    when = year(clean, mark["place"])
-    cut = F.least(mark["place"], when["place"], release_tag(clean))
-    head = F.when(cut.isNotNull(), F.substring(clean, F.lit(1), cut - 1)).otherwise(clean)
-    kind = F.when(mark.isNotNull(), "episode").otherwise("unknown")
-    return F.struct(tidy(head, dots).alias("title"), when["year"].alias("year"), mark["season"].alias("season"), mark["episode"].alias("episode"), kind.alias("kind"))
+    return _title(clean, dots, mark, year(clean, mark["place"]), release_tag(clean))
+
+
+def with_title(rows: DataFrame, name: str, out: str = "parsed") -> DataFrame:
+    """``parse_title`` in steps, so that each part of a long expression is worked out once per row."""
+    dots = ~F.replace(F.col(name), F.lit("_"), F.lit(" ")).contains(" ")
+    step = rows.withColumns({"clean__": spaced(F.col(name)), "dots__": dots})
+    step = step.withColumns({"mark__": episode(F.col("clean__")), "tag__": release_tag(F.col("clean__"))})
+    step = step.withColumn("when__", year(F.col("clean__"), F.col("mark__.place")))
+    made = _title(F.col("clean__"), F.col("dots__"), F.col("mark__"), F.col("when__"), F.col("tag__"))
+    return step.withColumn(out, made).drop("clean__", "dots__", "mark__", "tag__", "when__")
 
 
 def file_title(path: Column) -> Column:

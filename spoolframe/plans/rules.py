@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -30,7 +30,7 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = _names(spark, sf_dir).select("p_partkey", T.parse_title(F.col("name")).alias("t"))
+    got = T.with_title(_names(spark, sf_dir), "name", "t")
     return got.select("p_partkey", "t.title", "t.year", "t.season", "t.episode", "t.kind")
 
 
