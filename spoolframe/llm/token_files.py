@@ -151,6 +151,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
             return
         writer.close()
         body.close()
+        if fs.get_file_info(name).type != pafs.FileType.NotFound:  # some stores do not move onto a file
+            fs.delete_file(name)
         fs.move(trial, name)
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([least], pa.int64()), pa.array([len(writer.docs)], pa.int64()), pa.array([writer.count], pa.int64())], names=["file", "least", "docs", "ids"])
 
