@@ -28,15 +28,25 @@ _UPPER, _LOWER, _DIGIT, _HIGH = _mask(range(65, 91)), _mask(range(97, 123)), _ma
 _CLASSES = [_UPPER, _LOWER | _HIGH, _mask("#$%&*<>{}[]=+~^@\\_`"), _mask("!?"), _DIGIT, _mask("|/"), _mask(".,;:"), _SPACE, _mask("\n"), _HIGH]
 
 
+#: Bytes of text that features are worked out for at a time.
+AT_ONCE = 1 << 19
+
+
+def _running(mask: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(mask) + 1, np.int32 if len(mask) < 1 << 31 else np.int64)
+    np.cumsum(mask, out=out[1:])
+    return out
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One row of ``FEATURES`` per text, from its bytes and word hashes; all zero for an empty text."""
     count = len(offsets) - 1
     out = np.zeros((count, len(FEATURES)))
     if not len(data):
         return out
-    sums = [np.concatenate([[0], np.cumsum(m[data], dtype=np.int64)]) for m in _CLASSES]
+    # One running count at a time: each is as long as the text.
     n = np.maximum(np.diff(offsets), 1)
-    upper, lower, symbols, marks, digits, bars, stops, spaces, lines, high = (np.diff(s[offsets]) for s in sums)
+    upper, lower, symbols, marks, digits, bars, stops, spaces, lines, high = (np.diff(_running(m[data])[offsets]) for m in _CLASSES)
     hashes, before = words(data, offsets)
     w = np.diff(before)
     many = np.maximum(w, 1)
@@ -54,7 +64,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     # Lines: words of a line summed with their place give its hash; a repeat is a line seen before in the text.
     repeated = np.zeros(count)
     if len(starts):
-        line = sums[8][starts] + np.repeat(np.arange(count), w) * 1
+        line = _running(_CLASSES[8][data])[starts] + np.repeat(np.arange(count), w)
         head = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
         place = np.arange(len(starts)) - np.repeat(head, np.diff(np.append(head, len(starts))))
         value = mix(np.add.reduceat(mix(hashes + place.astype(np.uint64)), head))
@@ -198,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in slices(batch, "text"):
+            for part, data, offsets in slices(batch, "text", AT_ONCE):
                 x = features(data, offsets)
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), rows], names=["id", "label", "x"])
@@ -223,7 +233,7 @@ def quality_scores(docs: DataFrame, model: AdditiveModel, keep: list[str] | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in slices(batch, "text__"):
+            for part, data, offsets in slices(batch, "text__", AT_ONCE):
                 score = model.score(features(data, offsets))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score)], names=[*part.schema.names[:-1], "score__"])
 
