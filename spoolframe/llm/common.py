@@ -89,7 +89,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cuts a batch into runs of rows with about ``most_bytes`` of text.
 
     Yields (rows, UTF-8 bytes, offsets); null text counts as empty. A single
