@@ -15,17 +15,21 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def poisson(mean: Column, u: Column) -> Column:
-    """The count whose Poisson interval holds ``u``: how many cumulated chances are at or below it."""
+def poisson_sums(mean: Column) -> Column:
+    """The cumulated chances of 0, 1, 2, ... of a Poisson count, as far as doubles tell them from 1."""
     most = F.ceil(mean + 12 * F.sqrt(mean) + 30).cast("int")
-    start = F.struct(F.exp(-mean).alias("chance"), F.exp(-mean).alias("sum"), F.lit(0).cast("long").alias("n"))
+    start = F.struct(F.exp(-mean).alias("chance"), F.array(F.exp(-mean)).alias("sums"))
 
     def step(state: Column, k: Column) -> Column:
         chance = state["chance"] * mean / k.cast("double")
-        beyond = state["sum"] <= u
-        return F.struct(F.when(beyond, chance).otherwise(state["chance"]).alias("chance"), F.when(beyond, state["sum"] + chance).otherwise(state["sum"]).alias("sum"), (state["n"] + beyond.cast("long")).alias("n"))
+        return F.struct(chance.alias("chance"), F.array_append(state["sums"], F.element_at(state["sums"], -1) + chance).alias("sums"))
+
+    return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["sums"])
+
 
-    return F.when(mean > 0, F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["n"])).otherwise(F.lit(0).cast("long"))
+def poisson(sums: Column, u: Column) -> Column:
+    """The count whose Poisson interval holds ``u``: how many cumulated chances are at or below it."""
+    return F.size(F.filter(sums, lambda c: c <= u)).cast("long")
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, source_col: str = "source") -> DataFrame:
@@ -65,14 +69,18 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total:
     added ones are replaced. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    means = rates(docs, weights, total, source_col)
+    # Tables of one row per source: how many parts its mean is the sum of, and a part's cumulated chances.
+    parts = F.greatest(F.ceil(F.col("mean__") / LARGEST_MEAN), F.lit(1)).cast("int")
+    means = rates(docs, weights, total, source_col).where("mean__ > 0").withColumn("parts__", parts)
+    means = means.withColumn("part__", F.col("mean__") / F.col("parts__")).withColumn("sums__", poisson_sums(F.col("part__")))
     plain = docs.drop("copy", "copies", "order_key")
     met = plain.join(means, F.expr(f"`{source_col}` <=> source__"))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    parts = F.greatest(F.ceil(F.col("mean__") / LARGEST_MEAN), F.lit(1)).cast("int")
-    one = poisson(F.col("mean__"), uniform(F.lit(seed), key, F.lit(0)))
-    many = F.aggregate(F.transform(F.sequence(F.lit(0), parts - 1), lambda i: poisson(F.col("mean__") / parts, uniform(F.lit(seed), key, i))), F.lit(0).cast("long"), lambda a, b: a + b)
-    counted = met.withColumn("copies", F.when(parts == 1, one).otherwise(many)).where("copies > 0")
+    # The first chance is a column of its own, worked out once per row, not at every step of the count.
+    drawn = met.withColumn("u__", uniform(F.lit(seed), key, F.lit(0)))
+    rest = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("parts__") - 1), lambda i: poisson(F.col("sums__"), uniform(F.lit(seed), key, i))), F.lit(0).cast("long"), lambda a, b: a + b)
+    count = poisson(F.col("sums__"), F.col("u__"))
+    counted = drawn.withColumn("copies", F.when(F.col("parts__") == 1, count).otherwise(count + rest)).where("copies > 0")
     each = counted.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     keyed = each.withColumn("order_key", F.md5(F.concat_ws("|", F.lit(str(seed)), key, F.col("copy").cast("string"), F.lit("order"))))
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -289,7 +289,8 @@ def test_mixing(docs, odd, none):
     many = mixing.mix_sources(odd, total=20_000)
     assert abs(many.count() - 20_000) < 1500 and set(odd.columns) <= set(many.columns)
     assert mixing.mix_sources(none).count() == 0 and mixing.mix_sources(docs, {}).count() == 0
-    u = docs.sparkSession.range(20_000).select(mixing.poisson(F.lit(2.5), mixing.uniform(F.lit(1), F.col("id"))).alias("k"))
+    drawn = docs.sparkSession.range(20_000).select(mixing.poisson_sums(F.lit(2.5)).alias("sums"), mixing.uniform(F.lit(1), F.col("id")).alias("u"))
+    u = drawn.select(mixing.poisson(F.col("sums"), F.col("u")).alias("k"))
     mean, var = u.agg(F.avg("k"), F.var_pop("k")).first()
     assert abs(mean - 2.5) < 0.06 and abs(var - 2.5) < 0.15
 
