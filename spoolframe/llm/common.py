@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -50,43 +51,57 @@ class Written:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links(a, b)``: one row ``(node, component)`` per node.
 
     ``component`` is the smallest node of the component. Each round renames every
     node to the smallest of its neighbours and itself and keeps the edges between
-    new names; the smallest node keeps its name, so when no edge is left every
-    node has it. Rows are two longs, all steps are combinable aggregations and
-    equi-joins, and each round is written, so a lost executor costs one round.
+    new names, until no edge is left. The largest name of a component is chosen
+    by none, so every round ends some names and the loop ends. The first two
+    rounds order names by value, which is all that stars need; before every
+    second round after them the names are hashed anew, so the rounds grow with
+    the logarithm of a path however its nodes are numbered. ``xxhash64`` of a long
+    is one-to-one, so hashed names never meet, and the smallest node of each name
+    is taken at the end. Rows are two longs, all steps are combinable aggregations
+    and equi-joins, and each round is written, so a lost executor costs one round.
     Self links make a node known; null ends are ignored; an empty table gives an
     empty result.
     """
-    spark = links.sparkSession
     ends = links.select(F.col("a").cast("long"), F.col("b").cast("long")).dropna()
     both = ends.union(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     edges = Written(both, "edges")
     names: Written | None = None
-    for _ in range(rounds):
+    for turn in count(1):
         least = edges.df.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to"))
         step = Written(least, "names")
+        again = turn % 2 == 0  # names are hashed anew after this round
+
+        def named(column: str) -> F.Column:
+            return F.xxhash64(column, F.lit(turn)) if again else F.col(column)
+
         if names is None:
             names_next = Written(step.df.select(F.col("a").alias("node"), F.col("to").alias("component")), "labels")
         else:
             joined = names.df.join(step.df, names.df.component == step.df.a, "left")
-            names_next = Written(joined.select("node", F.coalesce("to", "component").alias("component")), "labels")
+            names_next = Written(joined.select("node", F.coalesce("to", "component").alias("component")).select("node", named("component").alias("component")), "labels")
             names.drop()
         names = names_next
         one = step.df.select(F.col("a"), F.col("to").alias("a2"))
         two = step.df.select(F.col("a").alias("b"), F.col("to").alias("b2"))
-        renamed = edges.df.join(one, "a").join(two, "b").where("a2 <> b2").select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct()
+        renamed = edges.df.join(one, "a").join(two, "b").where("a2 <> b2").select(named("a2").alias("a"), named("b2").alias("b")).distinct()
         following = Written(renamed, "edges")
         edges.drop()
         step.drop()
         edges = following
         if edges.df.isEmpty():
             edges.drop()
-            return names.df
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+            break
+    if turn == 1:
+        return names.df
+    smallest = names.df.groupBy("component").agg(F.min("node").alias("smallest"))
+    settled = Written(names.df.join(smallest, "component").select("node", F.col("smallest").alias("component")), "labels")
+    names.drop()
+    return settled.df
 
 
 def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

@@ -138,6 +138,13 @@ def test_components(spark):
     assert got == label
 
 
+def test_components_of_a_long_path(spark):
+    """Ascending ids, alone and with links further on, in no more rounds than a logarithm asks for."""
+    links = [(i, i + 1) for i in range(3000)] + [(i, j) for i in range(10_000, 11_000) for j in range(i + 1, i + 4)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: 0 if x < 10_000 else 10_000 for link in links for x in link}
+
+
 def test_exact_groups(spark, rows):
     texts = rows + [(10_000 + i, t) for i, t in rows[:20]] + [(20_000, rows[0][1][:200] + "x"), (20_001, rows[0][1] + " tail")]
     want = {}
