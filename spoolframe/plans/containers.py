@@ -115,11 +115,16 @@ def guarded_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similarity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as grey pictures of 16 x 16, each beside itself with its first row dark."""
+    """Whole texts as pictures 16 wide, each beside itself with its first row dark.
+
+    A row is 64 bytes; only the last is padded. An empty text is one row of padding, a null text has null scores.
+    """
     d = table(spark, sf_dir, "documents")
-    grey = F.substring(F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("7F" * 1024))), 1, 1024)
-    rows = d.where("text IS NOT NULL").select("doc_id", grey.alias("a"))
-    rows = rows.withColumn("b", F.concat(F.unhex(F.lit("00" * 64)), F.substring("a", 65, 960))).withColumns({"w": F.lit(16), "h": F.lit(16)})
+    body = F.encode("text", "UTF-8")
+    height = F.greatest(F.ceil(F.octet_length(body) / 64), F.lit(1)).cast("int")
+    rows = d.select("doc_id", body.alias("body"), F.when(F.col("text").isNotNull(), height).alias("h"))
+    rows = rows.select("doc_id", F.substring(F.concat("body", F.unhex(F.lit("7F" * 64))), F.lit(1), F.col("h") * 64).alias("a"), F.coalesce("h", F.lit(0)).alias("h"))
+    rows = rows.withColumns({"b": F.concat(F.unhex(F.lit("00" * 64)), F.substring("a", 65, 2147483647)), "w": F.lit(16)})
     s = kernels.similarity("a", "b", "w", "h")
     return rows.select("doc_id", s.alias("s"), kernels.detail("a").alias("d")).select("doc_id", F.round("s.overall", 3).alias("overall"), F.round("s.worst", 3).alias("worst"), F.round("d", 4).alias("detail"))
 
