@@ -25,9 +25,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are equal when their normalised bytes are. The first digit is the byte
     length with the first ``first_digit`` bytes; each level splits every group
     that is still open by the next bytes, in digits ``wider`` times as wide as
-    the last, until groups are singletons or their texts have ended. Group labels
-    are smallest ids, not digests: equality is decided on the bytes alone (the
-    SHA-256 column is only reported). Counting a digit combines before the
+    the last, until groups are singletons or their texts have ended. Groups
+    are told apart by bytes and row numbers, not digests: equality is decided on
+    the bytes alone (the SHA-256 column is only reported). Counting a digit combines before the
     shuffle, so a group that holds a third of all rows sends one row per task;
     only rows of open groups go on to the next level, as the rest of their bytes.
 
@@ -45,17 +45,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counts = base.select("id", "size", F.substring("rest", 1, first_digit).alias("digit")).groupBy("size", "digit").agg(F.count("*").alias("n"), F.min("id").alias("label"))
     met = opening.join(counts, ["size", "digit"])
     open_now = (F.col("n") > 1) & (F.col("size") > first_digit)
-    level = Written(met.select("id", "sha", "size", "n", "label", F.when(open_now, F.col("rest")).alias("rest")), "radix")
+    # Ids may be repeated or null, so a group is known by its first digit and then by the smallest number of its rows.
+    level = Written(met.select("id", "sha", "size", "n", "label", F.when(open_now, F.col("rest")).alias("rest"), F.when(open_now, F.col("digit")).alias("group"), F.monotonically_increasing_id().alias("row")), "radix")
     done = [level.df.where(F.col("rest").isNull()).select("id", "label", "n", "sha")]
     seen, digit = first_digit, first_digit * wider
     still = level.df.where(F.col("rest").isNotNull())
     while not still.isEmpty():
-        cut = still.select("id", "sha", "size", F.col("label").alias("group"), F.substring("rest", 1, digit).alias("digit"), F.substring("rest", digit + 1, 2147483647).alias("rest"))
-        counts = cut.groupBy("group", "size", key).agg(F.count("*").alias("n"), F.min("id").alias("label"))
-        met = cut.withColumnRenamed("group", "g").join(counts.withColumnsRenamed({"group": "g2", "size": "s2", "digit": "d2"}), F.expr("g <=> g2 AND size = s2 AND digit = d2"))
+        cut = still.select("id", "sha", "size", "group", "row", F.substring("rest", 1, digit).alias("digit"), F.substring("rest", digit + 1, 2147483647).alias("rest"))
+        counts = cut.groupBy("group", "size", key).agg(F.count("*").alias("n"), F.min("id").alias("label"), F.min("row").alias("next"))
+        met = cut.join(counts, ["group", "size", "digit"])
         seen += digit
         open_now = (F.col("n") > 1) & (F.col("size") > seen)
-        level = Written(met.select("id", "sha", "size", "n", "label", F.when(open_now, F.col("rest")).alias("rest")), "radix")
+        level = Written(met.select("id", "sha", "size", "n", "label", F.when(open_now, F.col("rest")).alias("rest"), F.col("next").alias("group"), "row"), "radix")
         done.append(level.df.where(F.col("rest").isNull()).select("id", "label", "n", "sha"))
         still = level.df.where(F.col("rest").isNotNull())
         digit *= wider

@@ -159,6 +159,19 @@ def test_exact_groups(spark, rows):
                 assert (lookup[i].keep_id, lookup[i].group_size, lookup[i].text_sha256) == (min(ids), len(ids), hashlib.sha256(t.encode()).hexdigest())
 
 
+def test_exact_groups_of_repeated_and_null_ids(spark):
+    """Texts that differ in the first digit only, or in the second only, under one id or none."""
+    tail = " the rest of it" * 200
+    texts = [(i, head + "-" * 40 + mid + tail) for i in (7, None) for head in ("left ", "right") for mid in ("x", "y") for _ in range(2)]
+    got = exact_dedup.exact_groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == Counter((i, 7, 4, sha(t)) for i, t in texts)
+    for i in (7, None):
+        own = spark.createDataFrame([(a, t) for a, t in texts if a == i], "doc_id long, text string")
+        for first, wider in ((32, 32), (4, 2)):
+            assert Counter((r.keep_id, r.group_size, r.text_sha256) for r in exact_dedup.exact_groups(own, first_digit=first, wider=wider).collect()) == Counter((i, 2, sha(t)) for a, t in texts if a == i)
+
+
 def test_odd_exact(odd, none):
     got = exact_dedup.exact_groups(odd).collect()
     assert len(got) == len(ODD)
