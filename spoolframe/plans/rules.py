@@ -85,7 +85,7 @@ def version_satisfies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lenient_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every value of event properties as whole number, number, text and truth, whatever its JSON type."""
+    """Values made of event ids, of four JSON types, as whole number, number, text and truth; props is not read."""
     e = table(spark, sf_dir, "events")
     # A document with known awkward types beside each event's own key.
     text = F.concat(F.lit('{"a":'), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('"'), F.col("event_id").cast("string"), F.lit('"'))).when(F.col("event_id") % 4 == 1, F.concat(F.col("event_id").cast("string"), F.lit(".5"))).when(F.col("event_id") % 4 == 2, F.lit("true")).otherwise(F.col("event_id").cast("string")), F.lit("}"))
