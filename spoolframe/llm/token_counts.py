@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .shingles import _BYTE, _power_table, _SPACE, mix
+from .shingles import _SPACE, strangers, word_keys
 
 #: Distinct words that a worker remembers before it starts over.
 CACHE_WORDS = 1_000_000
@@ -96,7 +96,7 @@ def byte_bpe_pieces(path: str) -> tuple[set[bytes], set[bytes]]:
     return {p[1:] for p in pieces if p[:1] == b" " and len(p) > 1} | single, {p for p in pieces if p[:1] != b" "} | single
 
 
-_automata: dict[str, tuple[Automaton, dict[int, int]]] = {}
+_automata: dict[str, tuple[Automaton, dict[bytes, int]]] = {}
 
 
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,7 +105,8 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     Words are runs of bytes other than 0x20 and 0x09-0x0D. A word that greedy
     matching cannot finish counts as one unknown token. The pieces of the file
     ``vocabulary`` (see ``byte_bpe_pieces``) are read by each worker once; a
-    word's length is worked out once per batch.
+    word's length is worked out once per run of texts. Words are brought together
+    by a key and then compared byte for byte, so no two words are taken for one.
 
     Null and empty texts count zero. Repeated rows and null ids are rows of their
     own; other columns are ignored; an empty table gives an empty result.
@@ -121,16 +122,21 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                 codes, distinct = pd.factorize(key)
                 if len(known) + len(distinct) > CACHE_WORDS:
                     known.clear()
-                at = np.zeros(len(distinct), np.int64)
-                at[codes[::-1]] = np.arange(len(codes))[::-1]
+                first = np.zeros(len(distinct), np.int64)
+                first[codes[::-1]] = np.arange(len(codes))[::-1]
                 raw, value = data.tobytes(), np.zeros(len(distinct), np.int64)
-                for i, k in enumerate(distinct.tolist()):
-                    n = known.get(k)
+
+                def length(a: int, b: int) -> int:
+                    n = known.get(raw[a:b])
                     if n is None:
-                        a = int(starts[at[i]])
-                        n = known[k] = machine.count(raw[a : a + int(sizes[at[i]])])
-                    value[i] = n
+                        n = known[raw[a:b]] = machine.count(raw[a:b])
+                    return n
+
+                for i, at in enumerate(first.tolist()):
+                    value[i] = length(int(starts[at]), int(starts[at] + sizes[at]))
                 each = value[codes] if len(codes) else np.zeros(0, np.int64)
+                for at in strangers(data, starts, sizes, codes, first).tolist():  # a key that stands for another word
+                    each[at] = length(int(starts[at]), int(starts[at] + sizes[at]))
                 before = np.searchsorted(starts, offsets)
                 total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[before])
                 yield pa.RecordBatch.from_arrays(
@@ -152,7 +158,6 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     start[offsets[:-1][np.diff(offsets) > 0]] = True
     starts = np.flatnonzero(start)
     sizes = np.diff(np.append(starts, len(data)))
-    place = np.arange(len(data), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
-    key = mix(np.add.reduceat(_BYTE[data] * _power_table(int(sizes.max()) + 1)[place], starts) + sizes.astype(np.uint64))
+    key = word_keys(data, starts, sizes)
     word = inside[starts]
     return starts[word], sizes[word], key[word]

@@ -3,8 +3,11 @@
 Both models cut a text into pre-tokens and encode each by itself, so a text's ids
 are its pre-tokens' ids in a row. Most words of a corpus are repeats: pre-tokens
 are found and hashed as arrays over many texts at once, and the library's model
-encodes each distinct one. A text with characters or contractions outside the
-plain rules below goes to the library whole, as its Unicode rules are its own.
+encodes each distinct one. Keys only bring equal pre-tokens together: every one is
+compared byte for byte with the one that stands for its key, and what is
+remembered between texts is known by its bytes. A text with characters or
+contractions outside the plain rules below, or with a pre-token whose key stands
+for another, goes to the library whole, as its Unicode rules are its own.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import os
 import numpy as np
 import pandas as pd
 
-from .shingles import _BYTE, _power_table, mix
+from .shingles import strangers, word_keys
 
 #: Distinct pre-tokens that a worker remembers before it starts over.
 CACHE_WORDS = 600_000
@@ -51,11 +54,11 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot: dict[bytes, int] = {}
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _learn(self, key: int, word: bytes) -> int:
+    def _learn(self, word: bytes) -> int:
         text = word.decode("utf-8")
         text = (text.lower() if self.words else text).encode("utf-8").decode("latin-1").translate(_ALPHABET)
         ids = [t.id for t in self.model.model.tokenize(text)]
@@ -67,7 +70,7 @@ class Encoder:
         self.pool[self.used : self.used + len(ids)] = ids
         self.start[at], self.length[at] = self.used, len(ids)
         self.used += len(ids)
-        self.slot[key] = at
+        self.slot[word] = at
         return at
 
     def _starts(self, data: np.ndarray, cls: np.ndarray, heads: np.ndarray) -> np.ndarray:
@@ -101,27 +104,29 @@ class Encoder:
         heads = offsets[:-1][np.diff(offsets) > 0]
         starts = np.flatnonzero(self._starts(data, cls, heads))
         lengths = np.diff(np.append(starts, len(data)))
-        place = np.arange(len(data), dtype=np.int32) - np.repeat(starts.astype(np.int32), lengths)
-        key = mix(np.add.reduceat(_BYTE[data] * _power_table(int(lengths.max()) + 1)[place], starts) + lengths.astype(np.uint64))
+        key = word_keys(data, starts, lengths)
         if self.words:
             keep = cls[starts] != _WHITE
             starts, lengths, key = starts[keep], lengths[keep], key[keep]
+        codes, distinct = pd.factorize(key)
+        first = np.zeros(len(distinct), np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        other = starts[strangers(data, starts, lengths, codes, first)]
+        strange = np.union1d(strange, np.searchsorted(offsets, other, side="right") - 1)
         if len(strange):  # their pre-tokens are not looked at
             at = np.searchsorted(offsets, starts, side="right") - 1
             keep = ~np.isin(at, strange)
             starts, lengths, key = starts[keep], lengths[keep], key[keep]
-        codes, distinct = pd.factorize(key)
+            codes, distinct = pd.factorize(key)
+            first = np.zeros(len(distinct), np.int64)
+            first[codes[::-1]] = np.arange(len(codes))[::-1]
         if len(self.slot) + len(distinct) > CACHE_WORDS:
             self._clear()
-        first = np.zeros(len(distinct), np.int64)
-        first[codes[::-1]] = np.arange(len(codes))[::-1]
         slots, get, raw = np.zeros(len(distinct), np.int64), self.slot.get, data.tobytes()
-        for i, k in enumerate(distinct.tolist()):
-            s = get(k)
-            if s is None:
-                a = int(starts[first[i]])
-                s = self._learn(k, raw[a : a + int(lengths[first[i]])])
-            slots[i] = s
+        lo = starts[first]
+        for i, (a, b) in enumerate(zip(lo.tolist(), (lo + lengths[first]).tolist())):
+            s = get(raw[a:b])
+            slots[i] = self._learn(raw[a:b]) if s is None else s
         slot = slots[codes]
         size = self.length[slot]
         before = np.cumsum(size) - size
