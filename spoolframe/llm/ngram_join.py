@@ -7,17 +7,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, components, slices
+from .common import Written, components, join_counted, slices
 from .shingles import mix, sets
 
 #: Bits of the id filter that goes to every task; its size is fixed (1 MB).
 FILTER_BITS = 1 << 23
-#: Shingles that one prefix tree holds at most; larger blocks are joined in pairs of chunks.
-TREE_SHINGLES = 2_000_000
+#: Shingles that one prefix tree holds, about; larger blocks are dealt into chunks.
+TREE_SHINGLES = 500_000
 _SALT = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA5A3564E3C6F1B27, 0xC2B2AE3D27D4EB4F)]
 
 
@@ -173,32 +172,37 @@ class PrefixTree:
                 stack.append((node[1][later], at, same))
 
 
-def links_within(members: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+def links_within(members: list[np.ndarray], num: int, den: int, classes: list[int] | None = None, asked: list[bool] | None = None) -> list[tuple[int, int]]:
     """Links that span the classes of ``members`` (distinct sets), as index pairs.
 
-    Shingles are ordered by how many of the sets hold them, rare ones first. One
-    that only a single set holds is a sure difference; sets with too many of them
-    are out before the tree is built.
+    Paths follow the one global order of shingles, that of their hashes. One that
+    only a single set holds is a sure difference and on no path; sets with too
+    many of them are out before the tree is built. Sets of one class of
+    ``classes`` count as linked already; where ``asked`` is given, only links of
+    the sets that it names are looked for.
     """
     if len(members) < 2:
         return []
-    tokens, back, count = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
-    rank = np.empty(len(tokens), np.int64)
-    rank[np.lexsort((tokens, count))] = np.arange(len(tokens))
-    shared, ranks = count[back] > 1, rank[back]
+    tokens, ranks, count = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
+    shared = count[ranks] > 1
     ends = np.cumsum([0, *(len(m) for m in members)])
     sizes, lists, waiting = [len(m) for m in members], {}, []
     for i, n in enumerate(sizes):
-        own = ranks[ends[i] : ends[i + 1]][shared[ends[i] : ends[i + 1]]]
+        span = slice(ends[i], ends[i + 1])
+        own = ranks[span][shared[span]]
         if len(own) * den >= n * num:  # else no set can share enough with it
-            lists[i] = np.sort(own).tolist()
-            waiting.append((n - len(own), i))
+            lists[i] = own.tolist()
+            waiting.append((asked is not None and asked[i], n - len(own), i))
     tree, found = PrefixTree(num, den, sizes), []
-    for _, i in sorted(waiting):
-        for y in tree.search(lists[i], i):
-            if tree.find(y) != tree.find(i):
-                tree.parent[max(tree.find(y), tree.find(i))] = min(tree.find(y), tree.find(i))
-                found.append((i, y))
+    if classes is not None:
+        first: dict[int, int] = {}
+        tree.parent = [first.setdefault(c, i) for i, c in enumerate(classes)]
+    for late, _, i in sorted(waiting):
+        if asked is None or late:
+            for y in tree.search(lists[i], i):
+                if tree.find(y) != tree.find(i):
+                    tree.parent[max(tree.find(y), tree.find(i))] = min(tree.find(y), tree.find(i))
+                    found.append((i, y))
         tree.insert(lists[i], i)
     return found
 
@@ -219,33 +223,68 @@ def _scan(id_col: str, text_col: str, width: int):
 
 
 #: Steps that a task holds before it combines them; bounds its memory.
-HELD_STEPS = 1_500_000
+HELD_STEPS = 1_000_000
+#: Lanes of a partition; one is held at a time.
+LANES = 4
+#: What a row of steps holds: steps with the set that each is of, steps that sets of one task share, and sets with how often they did.
+_SINGLE, _SHARED, _COUNTED = range(3)
 
 
-def _deal_steps(text_col: str, width: int, num: int, den: int):
-    """Rows (step, digest, hits): a step of a set that no other set of the task has; steps that sets of the task
-    share are counted for them here (step null), and sent once without a set (digest null), so a common step
-    costs one row a task."""
+def _lane_bounds(lanes: int) -> np.ndarray:
+    """Where each range of hashes begins; steps are hashes, so ranges of one width hold as many."""
+    return np.array([(k << 64) // lanes for k in range(1, lanes)], np.uint64)
 
-    def combine(steps: list[np.ndarray], owners: list[tuple[int, int]]) -> pa.RecordBatch:
+
+def _by_lane(keys: np.ndarray, values: np.ndarray | None, kind: int, bounds: np.ndarray) -> Iterator[tuple]:
+    """(lane, kind, keys, values) with the bytes of each lane's part of rows that are sorted by key."""
+    cuts = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
+    for lane in np.flatnonzero(np.diff(cuts)).tolist():
+        span = slice(cuts[lane], cuts[lane + 1])
+        yield lane, kind, keys[span].tobytes(), b"" if values is None else values[span].tobytes()
+
+
+_STEP_ROWS = "part int, lane int, kind int, a binary, b binary"
+
+
+def _step_batches(rows: Iterator[tuple], at_once: int = 64) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+
+    def out() -> pa.RecordBatch:
+        lane, kind, a, b = zip(*held)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([x // LANES for x in lane], pa.int32()), pa.array(lane, pa.int32()), pa.array(kind, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["part", "lane", "kind", "a", "b"])
+
+    for row in rows:
+        held.append(row)
+        if len(held) >= at_once:
+            yield out()
+    if held:
+        yield out()
+
+
+def _deal_steps(text_col: str, width: int, num: int, den: int, lanes: int):
+    """Steps of the sets of a task, a row for each lane of them.
+
+    A step that one set of the task has goes with the set's digest. Steps that
+    sets of the task share are counted for those here, and go once without a set,
+    so a common step costs a task one number.
+    """
+    bounds = _lane_bounds(lanes)
+
+    def combine(steps: list[np.ndarray], owners: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
         step = np.concatenate(steps)
-        digest = np.repeat(np.array([d for d, _ in owners], np.int64), [n for _, n in owners])
+        digest = np.repeat(np.array([d for d, _ in owners], np.int64).view(np.uint64), [n for _, n in owners])
         order = np.lexsort((digest, step))
         step, digest = step[order], digest[order]
+        del order
         fresh = np.concatenate([[True], (step[1:] != step[:-1]) | (digest[1:] != digest[:-1])])  # copies of a set count once
         step, digest = step[fresh], digest[fresh]
         twin = step[1:] == step[:-1]
         shared = np.concatenate([[False], twin]) | np.concatenate([twin, [False]])
-        common = np.unique(step[shared])
+        yield from _step_batches(_by_lane(step[~shared], digest[~shared], _SINGLE, bounds))
+        yield from _step_batches(_by_lane(np.unique(step[shared]), None, _SHARED, bounds))
         who, hits = np.unique(digest[shared], return_counts=True)
-        single = ~shared
-        parts = [(step[single].astype(np.int64), digest[single], None), (common.astype(np.int64), None, None), (None, who, hits)]
-        sizes = [int(single.sum()), len(common), len(who)]
-
-        def column(i: int) -> pa.Array:
-            return pa.concat_arrays([pa.nulls(n, pa.int64()) if p[i] is None else pa.array(p[i], pa.int64()) for p, n in zip(parts, sizes)])
-
-        return pa.RecordBatch.from_arrays([column(0), column(1), column(2)], names=["step", "digest", "hits"])
+        yield from _step_batches(_by_lane(who, hits.astype(np.int64), _COUNTED, bounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps, owners, held = [], [], 0
@@ -253,80 +292,79 @@ def _deal_steps(text_col: str, width: int, num: int, den: int):
             for _, data, offsets in slices(batch, text_col):
                 for x in sets(data, offsets, width):
                     got = _steps(x, num, den)
-                    steps.append(got)
-                    owners.append((_digest(x)[0], len(got)))
-                    held += len(got)
+                    if len(got):
+                        steps.append(got)
+                        owners.append((_digest(x)[0], len(got)))
+                        held += len(got)
                 if held > HELD_STEPS:
-                    yield combine(steps, owners)
+                    yield from combine(steps, owners)
                     steps, owners, held = [], [], 0
         if held:
-            yield combine(steps, owners)
+            yield from combine(steps, owners)
 
     return run
 
 
-def _packed(digest: np.ndarray, hits: np.ndarray, here: bool, lanes: int) -> pa.RecordBatch:
-    """Counts by digest as one row per lane: (lane, here, digests, hits as bytes)."""
-    lane = (digest.view(np.uint64) % np.uint64(lanes)).astype(np.int64)
-    order = np.argsort(lane, kind="stable")
-    names, first = np.unique(lane[order], return_index=True)
-    parts = [[x[order][i:j].tobytes() for i, j in zip(first, [*first[1:], len(order)])] for x in (digest, hits.astype(np.int64))]
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([here] * len(names)), *(pa.array(p, pa.binary()) for p in parts)], names=["lane", "here", "digests", "hits"])
+def _lanes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes, bytes]]]]:
+    """(lane, its rows) one after the other, of rows sorted by lane."""
+    now, rows = None, []
+    for batch in batches:
+        for lane, kind, a, b in zip(*(c.to_pylist() for c in batch.columns[1:])):
+            if lane != now and rows:
+                yield now, rows
+                rows = []
+            now = lane
+            rows.append((kind, a, b))
+    if rows:
+        yield now, rows
+
+
+def _joined(rows: list[tuple[int, bytes, bytes]], kind: int, column: int, dtype: type) -> np.ndarray:
+    return np.frombuffer(b"".join(r[column] for r in rows if r[0] == kind), dtype)
 
 
 def _count_steps(lanes: int):
-    """In a partition that has all rows of its steps: how many steps of each digest more than one set has.
+    """Where all rows of a lane's steps are: how many steps of each digest more than one set has; counts made before are passed on.
 
-    Counts made before are passed on. A partition sends a row per lane, not one
-    per digest, so what it sends does not grow with the partitions that a set's
-    steps are spread over.
+    The counts are rows by lanes of the digests, so what is sent does not grow
+    with the partitions that a set's steps are spread over.
     """
+    bounds = _lane_bounds(lanes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for batch in batches:
-            there = batch.column(0).is_valid()
-            parts.append(batch.filter(there))
-            rest = batch.filter(pc.invert(there))
-            if len(rest):
-                yield _packed(rest.column(1).to_numpy(), rest.column(2).to_numpy(), True, lanes)
-        if not sum(map(len, parts)):
-            return
-        table = pa.Table.from_batches(parts)
-        step = table.column("step").to_numpy()
-        marked = table.column("digest").is_null().to_numpy()
-        digest = table.column("digest").combine_chunks().fill_null(0).to_numpy()
-        order = np.lexsort((digest, step))
-        step, digest, marked = step[order], digest[order], marked[order]
-        head = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1]]))
-        other = np.concatenate([[False], (step[1:] == step[:-1]) & (digest[1:] != digest[:-1])])
-        shared = np.repeat(np.logical_or.reduceat(other | marked, head), np.diff(np.append(head, len(step))))
-        fresh = np.concatenate([[True], (step[1:] != step[:-1]) | (digest[1:] != digest[:-1])])
-        who, hits = np.unique(digest[shared & fresh & ~marked], return_counts=True)
-        if len(who):
-            yield _packed(who, hits, False, lanes)
+        for lane, rows in _lanes_of(batches):
+            yield from _step_batches((lane, _COUNTED, a, b) for kind, a, b in rows if kind == _COUNTED)
+            single, common = _joined(rows, _SINGLE, 1, np.uint64), _joined(rows, _SHARED, 1, np.uint64)
+            digest = _joined(rows, _SINGLE, 2, np.uint64)
+            rows.clear()
+            order = np.lexsort((digest, single))
+            step, digest = single[order], digest[order]
+            if not len(step):
+                continue
+            fresh = np.concatenate([[True], (step[1:] != step[:-1]) | (digest[1:] != digest[:-1])])
+            step, digest = step[fresh], digest[fresh]
+            twin = step[1:] == step[:-1]
+            met = np.concatenate([[False], twin]) | np.concatenate([twin, [False]]) | np.isin(step, common)
+            who, hits = np.unique(digest[met], return_counts=True)
+            yield from _step_batches(_by_lane(who, hits.astype(np.int64), _SINGLE, bounds))
 
     return run
 
 
 def _sum_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per digest of the lanes: the most counted in one task plus all that was counted after."""
-    kept: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {True: [], False: []}
-    for batch in batches:
-        for here, digests, hits in zip(*(c.to_pylist() for c in batch.columns[1:])):
-            kept[here].append((np.frombuffer(digests, np.int64), np.frombuffer(hits, np.int64)))
-    both = [np.concatenate([d for rows in kept.values() for d, _ in rows] or [np.zeros(0, np.int64)])]
-    if not len(both[0]):
-        return
-    names, at = np.unique(both[0], return_inverse=True)
-    most, total = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
-    cut = sum(len(d) for d, _ in kept[True])
-    np.maximum.at(most, at[:cut], np.concatenate([h for _, h in kept[True]] or [np.zeros(0, np.int64)]))
-    np.add.at(total, at[cut:], np.concatenate([h for _, h in kept[False]] or [np.zeros(0, np.int64)]))
-    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(most + total)], names=["digest", "hits"])
+    """Per digest of a lane: the most counted in one task plus all that was counted after."""
+    for _, rows in _lanes_of(batches):
+        here, after = _joined(rows, _COUNTED, 1, np.int64), _joined(rows, _SINGLE, 1, np.int64)
+        names, at = np.unique(np.concatenate([here, after]), return_inverse=True)
+        most, total = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        np.maximum.at(most, at[: len(here)], _joined(rows, _COUNTED, 2, np.int64))
+        np.add.at(total, at[len(here) :], _joined(rows, _SINGLE, 2, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(most + total)], names=["digest", "hits"])
 
 
 def _rescan(id_col: str, text_col: str, width: int, wanted):
+    """The sets of documents that the id filter lets through, with their digests."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(wanted.value, np.uint8)
         for batch in batches:
@@ -335,7 +373,9 @@ def _rescan(id_col: str, text_col: str, width: int, wanted):
             batch = batch.filter(pa.array((bits[slot >> 3] >> (slot & 7) & 1).astype(bool)))
             for rows, data, offsets in slices(batch, text_col):
                 found = sets(data, offsets, width)
-                yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(id_col)).cast(pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["id", "tokens"])
+                digests = [_digest(x) for x in found]
+                columns = [rows.column(rows.schema.get_field_index(id_col)).cast(pa.int64())] + [pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in found], pa.binary())], names=["id", "d1", "d2", "tokens"])
 
     return run
 
@@ -357,6 +397,75 @@ def _id_filter(ids: DataFrame) -> bytes:
     return words.tobytes()
 
 
+def _tree_links(dealt: DataFrame, num: int, den: int) -> DataFrame:
+    """Links ``(a, b)`` in each group ``(block, i, j)`` of sets ``(rep, tokens, label, asked)``, by a prefix tree a group."""
+
+    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["asked", "rep"]).drop_duplicates(["rep", "asked"])
+        ids, asked = pdf["rep"].to_numpy(), pdf["asked"].tolist()
+        found = links_within([np.frombuffer(x, np.uint64) for x in pdf["tokens"]], num, den, pdf["label"].tolist(), asked)
+        return pd.DataFrame({"a": [int(ids[a]) for a, _ in found], "b": [int(ids[b]) for _, b in found]}, columns=["a", "b"]).astype("int64")
+
+    return dealt.select("block", "i", "j", "rep", "tokens", "label", "asked").groupBy("block", "i", "j").applyInPandas(tree, "a long, b long")
+
+
+def _chunk(chunks: str) -> F.Column:
+    return F.pmod(F.xxhash64("rep"), F.col(chunks)).cast("int")
+
+
+def _block_links(kept: DataFrame, block: DataFrame, num: int, den: int) -> DataFrame:
+    """Classes ``(node, component)`` of sets ``(rep, n, tokens)`` that share a block.
+
+    A block of up to ``TREE_SHINGLES`` is one tree. A larger one is dealt into
+    chunks. First each chunk is joined by itself, then one set of each class so
+    found is joined with the block's others. If that leaves more than one class,
+    links across chunks may be open, but none inside a class; so the sets outside
+    of the block's largest class, dealt into chunks, meet every chunk. A group of
+    near copies is one class by then, and its work grows with its size, not with
+    the square; only a block of many classes costs pairs of chunks.
+    """
+    placed = kept.join(block, kept.rep == block.node).select("rep", "n", "tokens", F.col("component").alias("block"))
+    load = placed.groupBy("block").agg(F.ceil(F.sum("n") / TREE_SHINGLES).cast("int").alias("chunks"))
+    dealt = placed.join(load, "block").withColumn("i", _chunk("chunks")).withColumns({"j": F.col("i"), "label": F.col("rep"), "asked": F.lit(True)})
+    found = [Written(_tree_links(dealt, num, den), "links")]
+
+    def classes() -> Written:
+        links = found[0].df
+        for more in found[1:]:
+            links = links.unionAll(more.df)
+        return components(links)
+
+    large = Written(load.where("chunks > 1").select("block"), "large")
+    split = Written(placed.join(large.df, "block"), "split") if not large.df.isEmpty() else None
+    large.drop()
+    named = classes()
+    if split is not None:
+
+        def labelled() -> DataFrame:
+            return split.df.join(named.df.withColumnRenamed("component", "label"), F.col("rep") == F.col("node"), "left").select("rep", "n", "tokens", "block", F.coalesce("label", "rep").alias("label"))
+
+        one = labelled().join(labelled().groupBy("block", "label").agg(F.min("rep").alias("first")), ["block", "label"]).where("rep = first").drop("first")
+        fit = one.groupBy("block").agg(F.ceil(F.sum("n") / TREE_SHINGLES).cast("int").alias("chunks"))
+        found.append(Written(_tree_links(one.join(fit, "block").withColumn("i", _chunk("chunks")).withColumns({"j": F.col("i"), "asked": F.lit(True)}), num, den), "links"))
+        named.drop()
+        named = classes()
+        weight = labelled().groupBy("block", "label").agg(F.sum("n").alias("w"))
+        main = weight.groupBy("block").agg(F.max_by("label", F.struct("w", "label")).alias("main"), F.sum("w").alias("w"), F.max("w").alias("most"))
+        half = TREE_SHINGLES / 2
+        plan = main.where("w > most").select("block", "main", F.ceil(F.col("w") / half).cast("int").alias("all"), F.ceil((F.col("w") - F.col("most")) / half).cast("int").alias("few"))
+        open_now = Written(labelled().join(plan, "block"), "open")
+        asking = open_now.df.where("label <> main").withColumns({"i": _chunk("few"), "j": F.explode(F.sequence(F.lit(0), F.col("all") - 1)), "asked": F.lit(True)})
+        others = open_now.df.withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("few") - 1)), "j": _chunk("all"), "asked": F.lit(False)})
+        found.append(Written(_tree_links(asking.unionByName(others), num, den), "links"))
+        named.drop()
+        named = classes()
+        open_now.drop()
+        split.drop()
+    for links in found:
+        links.drop()
+    return named
+
+
 def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_shingles, component_id, n_same_set)`` per distinct id: classes of near copies.
 
@@ -373,9 +482,8 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10
     3. The rest, few in a corpus, meet in blocks: the components of sharing a
        signature (see ``signatures``). Nothing is lost, and a common passage
        alone does not bring two documents together.
-    4. Each block is joined on a prefix tree. A block beyond ``TREE_SHINGLES`` is
-       dealt into chunks and every pair of chunks is a tree of its own, so no
-       task holds more than two chunks.
+    4. Each block is joined on prefix trees (see ``_block_links``); no task holds
+       more than about ``TREE_SHINGLES``.
     5. Links that span the classes are merged by ``components``.
 
     Null and empty texts, and texts of white space, have no shingle and link with
@@ -384,58 +492,53 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10
     Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
     seen = Written(source.mapInArrow(_scan("id", "text", width), "id long, n long, d1 long, d2 long"), "shingled")
-    classes = Written(seen.df.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "sets")
+    # A set is known by a number of its own, as one id may have several texts.
+    grouped = seen.df.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    classes = Written(grouped.withColumn("rep", F.monotonically_increasing_id()), "sets")
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    steps = source.select("text").mapInArrow(_deal_steps("text", width, num, den), "step long, digest long, hits long")
-    # One shuffle: rows that are counted already (step null) are spread by their digest.
-    counted = steps.repartition(parts, F.coalesce("step", "digest")).mapInArrow(_count_steps(parts), "lane long, here boolean, digests binary, hits binary")
+    steps = source.select("text").mapInArrow(_deal_steps("text", width, num, den, parts * LANES), _STEP_ROWS)
+    counted = steps.repartitionById(parts, F.col("part")).sortWithinPartitions("lane").mapInArrow(_count_steps(parts * LANES), _STEP_ROWS)
     # A set's steps in one of its tasks are either counted there or sent; so the most counted in a task and all counted after bound them.
-    hits = counted.repartition(parts, "lane").mapInArrow(_sum_hits, "digest long, hits long")
+    hits = counted.repartitionById(parts, F.col("part")).sortWithinPartitions("lane").mapInArrow(_sum_hits, "digest long, hits long")
     # A partner may be as small as num/den of the set. Sets so small that all their steps may break stay.
     enough = F.floor(F.floor(F.col("n") * num / den) / 25) + 1
     free = F.col("n") - 1 - F.floor(2 * F.col("n") * (den - num) / den) < 1
     met = classes.df.join(hits, classes.df.d1 == hits.digest, "left").where((F.coalesce("hits", F.lit(0)) >= enough) | free)
-    alive = Written(met.select("rep", "n"), "alive")
+    alive = Written(met.select("rep", "n", "d1", "d2", F.col("least").alias("id")), "alive")
 
-    wanted = spark.sparkContext.broadcast(_id_filter(alive.df.select("rep")))
-    text = source.mapInArrow(_rescan("id", "text", width, wanted), "id long, tokens binary")
-    # Repeated ids: any row whose set has the size belongs; trees compare sets, so a stray one harms nothing.
-    kept = Written(text.join(alive.df, text.id == alive.df.rep).where(F.octet_length("tokens") == 8 * F.col("n")).select("rep", "n", "tokens"), "tokens")
+    wanted = spark.sparkContext.broadcast(_id_filter(alive.df.select("id")))
+    text = source.mapInArrow(_rescan("id", "text", width, wanted), "id long, d1 long, d2 long, tokens binary")
+    kept = Written(text.join(alive.df, ["id", "d1", "d2"]).where(F.octet_length("tokens") == 8 * F.col("n")).select("rep", "n", "tokens"), "tokens")
+    alive.drop()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, parts = b.column(0).to_numpy(), b.column(1).to_pylist()
-            for lo in range(0, len(parts), 256):
-                got = [signatures(np.frombuffer(x, np.uint64), num, den) for x in parts[lo : lo + 256]]
+            ids, tokens = b.column(0).to_numpy(), b.column(1)
+            for lo in range(0, len(ids), 256):
+                got = [signatures(np.frombuffer(x, np.uint64), num, den) for x in tokens.slice(lo, 256).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[lo : lo + 256], [len(g) for g in got])), pa.array(np.concatenate(got).astype(np.int64))], names=["rep", "sig"])
 
     signed = Written(kept.df.select("rep", "tokens").mapInArrow(sign, "rep long, sig long"), "signed")
-    least = signed.df.groupBy("sig").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("sig", "a")
-    stars = signed.df.join(least, "sig").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    least = Written(signed.df.groupBy("sig").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.count("*").alias("holders")).where("a < z").select("sig", "a", "holders"), "least")
+    stars = join_counted(signed.df, least.df, ["sig"], "holders", "rep").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     block = components(stars)
     signed.drop()
-
-    placed = kept.df.join(block, kept.df.rep == block.node).select("rep", "n", "tokens", F.col("component").alias("block"))
-    load = placed.groupBy("block").agg(F.ceil(F.sum("n") / TREE_SHINGLES).cast("int").alias("chunks"))
-    dealt = placed.join(load, "block").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    others = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("chunks") - 1), F.col("chunk")))
-    dealt = dealt.withColumn("other", F.explode(others)).select("block", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "rep", "tokens")
-
-    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep").drop_duplicates("rep")
-        ids = pdf["rep"].to_numpy()
-        found = links_within([np.frombuffer(x, np.uint64) for x in pdf["tokens"]], num, den)
-        return pd.DataFrame({"a": [int(ids[a]) for a, _ in found], "b": [int(ids[b]) for _, b in found]}, columns=["a", "b"]).astype("int64")
-
-    links = Written(dealt.groupBy("block", "i", "j").applyInPandas(tree, "a long, b long"), "links")
-    merged = components(links.df)
-
-    owner = classes.df.join(merged, classes.df.rep == merged.node, "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"), (F.col("copies") - 1).alias("n_same_set"))
+    least.drop()
+    merged = _block_links(kept.df, block.df, num, den)
+    kept.drop()
+    block.drop()
+
+    linked = merged.df.join(classes.df, F.col("node") == F.col("rep"))
+    first = linked.groupBy("component").agg(F.min("least").alias("first"))
+    names = linked.select("rep", "component").join(first, "component").select(F.col("rep").alias("node"), "first")
+    owner = Written(classes.df.join(names, F.col("rep") == F.col("node"), "left").select("n", "d1", "d2", "copies", F.coalesce("first", "least").alias("component_id")), "owners")
+    merged.drop()
+    classes.drop()
     ids = seen.df.select("id", "n", "d1", "d2")
-    full = ids.where("n > 0").join(owner, ["n", "d1", "d2"]).select("id", "n", "component_id", "n_same_set")
+    full = join_counted(ids.where("n > 0"), owner.df, ["n", "d1", "d2"], "copies", "id").select("id", "n", "component_id", (F.col("copies") - 1).alias("n_same_set"))
     none = ids.where("n = 0").select("id", "n", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_same_set"))
     every = full.unionAll(none)
     return every.groupBy("id").agg(F.min("n").alias("n_shingles"), F.min("component_id").alias("component_id"), F.max("n_same_set").alias("n_same_set")).withColumnRenamed("id", id_col)

@@ -13,7 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spoolframe.llm import exact_dedup, fingerprints, language_id, mixing, ngram_join, packing, quality, queries, secret_scan, token_counts, token_files
+from spoolframe.llm import common, exact_dedup, fingerprints, language_id, mixing, ngram_join, packing, quality, queries, secret_scan, token_counts, token_files, tokenizing
+from spoolframe.llm import shingles as shingles_of
 from spoolframe.llm.common import components
 from spoolframe.llm.tokenizing import Encoder
 
@@ -127,22 +128,130 @@ def test_odd_classes(odd, none):
     assert kept.columns == odd.columns and Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 3, 4, 5, 5, 7, 8, None, None])
 
 
-def test_components(spark):
+def union_find(links):
+    label = {x: x for l in links for x in l}
+
+    def find(x):
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        label[b] = a
+    return {x: find(x) for x in label}
+
+
+@pytest.mark.parametrize("finish", [0, 100, 1 << 20])
+def test_components(spark, monkeypatch, finish):
+    """All in rounds over the cluster, a rest of few edges in one task, and all in one task."""
+    monkeypatch.setattr(common, "FINISH_EDGES", finish)
     rng = random.Random(0)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)] + [(7, 7)]
-    label = {x: x for l in links for x in l}
-    for _ in range(len(label)):
-        for a, b in links:
-            label[a] = label[b] = min(label[a], label[b])
-    got = {r.node: r.component for r in components(spark.createDataFrame([*links, (None, 3)], "a long, b long")).collect()}
-    assert got == label
-
-
-def test_components_of_a_long_path(spark):
-    """Ascending ids, alone and with links further on, in no more rounds than a logarithm asks for."""
-    links = [(i, i + 1) for i in range(3000)] + [(i, j) for i in range(10_000, 11_000) for j in range(i + 1, i + 4)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {x: 0 if x < 10_000 else 10_000 for link in links for x in link}
+    links += [(5000, 5001 + i) for i in range(300)] + [(7000 + i, 9000) for i in range(300)]  # hubs of the least and of the largest id
+    got = {r.node: r.component for r in components(spark.createDataFrame([*links, (None, 3)], "a long, b long")).df.collect()}
+    assert got == union_find(links)
+    assert components(spark.createDataFrame([], "a long, b long")).df.count() == 0
+
+
+@pytest.mark.parametrize("finish", [0, 1 << 20])
+def test_components_of_a_long_path(spark, monkeypatch, finish):
+    """Ascending, descending and mixed ids, alone and with links further on, in no more rounds than a logarithm asks for."""
+    monkeypatch.setattr(common, "FINISH_EDGES", finish)
+    rng = random.Random(4)
+    mixed = rng.sample(range(20_000, 30_000), 1000)
+    links = [(i, i + 1) for i in range(2000)] + [(i, j) for i in range(10_000, 10_500) for j in range(i + 1, i + 4)] + list(zip(mixed, mixed[1:]))
+    written = []
+    keep = common.Written.__init__
+    monkeypatch.setattr(common.Written, "__init__", lambda self, df, name: (written.append(name), keep(self, df, name))[1])
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).df.collect()}
+    assert got == union_find(links)
+    assert written.count("names") <= 2 * 11
+
+
+def test_least_reached_of_paths():
+    """A hundred thousand nodes in a path, numbered up, down and at random."""
+    for order in (np.arange(100_000), np.arange(100_000)[::-1], np.random.default_rng(1).permutation(100_000)):
+        nodes, least = common.least_reached(order[:-1], order[1:])
+        assert len(nodes) == 100_000 and (least == 0).all()
+
+
+def test_no_key_meets_its_rows_in_one_task(spark):
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("k"), (F.col("id") % 1900).cast("string"))).alias("k"))
+    counts = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    got = {r.id: (r.k, r.n, r.least) for r in common.join_counted(rows, counts, ["k"], "n", "id").collect()}
+    want = Counter(k for k, *_ in got.values())
+    assert len(got) == 4000 and all(n == want[k] and got[least][0] == k for k, n, least in got.values())
+    parts = common.join_counted(rows, counts, ["k"], "n", "id").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in parts) < 2000
+
+
+def test_scratch_drops_what_is_written_inside(spark):
+    import os
+
+    with common.scratch():
+        inner = common.Written(spark.range(3), "inner")
+    outer = common.Written(spark.range(3), "outer")
+    local = lambda t: t.path.removeprefix("file://").removeprefix("file:")
+    assert not os.path.exists(local(inner)) and outer.df.count() == 3
+    outer.drop()
+
+
+def thue_morse(n):
+    """Two words of n letters that every polynomial with an odd base takes for one, modulo 2**64."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("size", [16, 64, 65, 512, 1024, 2048, 8192])
+def test_words_are_known_by_their_bytes(spark, size):
+    one, two = thue_morse(size)
+    texts = [(1, one), (2, two), (3, f"{one} {two} {one}"), (4, f"{two} {one} {two}")]
+    raw = [t.encode() for _, t in texts]
+    for path in (BYTE, WORD):
+        own = Tokenizer.from_file(path)
+        ids, bounds = Encoder(path).encode_many(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        for k, (_, t) in enumerate(texts):
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == own.encode(t, add_special_tokens=False).ids
+    hashes, _ = shingles_of.words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert len(set(hashes.tolist())) == 2
+    if size == 1024:
+        df = spark.createDataFrame(texts, "doc_id long, text string")
+        assert {r.component_id for r in ngram_join.jaccard_classes(df, 1, 85, 100).collect()} == {1, 2, 3} and ngram_join.jaccard_classes(df, 4, 85, 100).where("doc_id = component_id").count() == 4
+        machine = token_counts.Automaton(*token_counts.byte_bpe_pieces(BYTE))
+        assert [r.n_tokens for r in token_counts.token_counts(df, BYTE).orderBy("doc_id").collect()[:2]] == [machine.count(one.encode()), machine.count(two.encode())]
+
+
+def test_a_key_that_two_words_share(monkeypatch):
+    """Should keys ever meet, the ids are still the library's and the counts each word's own."""
+    monkeypatch.setattr(tokenizing, "word_keys", lambda data, starts, lengths: np.zeros(len(starts), np.uint64))
+    monkeypatch.setattr(token_counts, "word_keys", lambda data, starts, lengths: np.zeros(len(starts), np.uint64))
+    texts = ["one two two", "two", "", "a much longer word: " + "x" * 200, "one"]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    own = Tokenizer.from_file(BYTE)
+    ids, bounds = Encoder(BYTE).encode_many(data, offsets)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+    starts, sizes, key = token_counts._words(data, offsets)
+    other = shingles_of.strangers(data, starts, sizes, np.zeros(len(starts), np.int64), np.zeros(1, np.int64))
+    assert sorted(other.tolist()) == [i for i in range(len(starts)) if data[starts[i] : starts[i] + sizes[i]].tobytes() != b"one"]
+
+
+def test_classes_of_an_id_with_two_texts(spark):
+    """Each text of a repeated id keeps its own links."""
+    base = [" ".join(f"{c}{i}" for i in range(40)) for c in "pq"]
+    texts = [(1, base[0]), (1, base[1]), (2, base[0] + " tail"), (3, base[1] + " tail"), (4, "something else that is long enough"), (5, base[1] + " tail more")]
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 1}
+
+
+def test_classes_of_a_drifting_chain(spark):
+    """Revisions of one page, each linked with the next only, in ascending ids."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [(i, " ".join(words[3 * i : 3 * i + 60])) for i in range(110)]
+    got = ngram_join.jaccard_classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_classes(texts, 5, 8, 10)
 
 
 def test_exact_groups(spark, rows):
