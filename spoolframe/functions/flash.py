@@ -13,10 +13,10 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 # Kinds of tags by code, for the census, omissions and verdict.
-STRUCTURAL_TAGS = [0, 1, 9, 24, 43, 56, 57, 58, 64, 65, 66, 69, 71, 76, 77, 78, 86, 39]
-VECTOR_TAGS = [4, 5, 26, 28, 70, 2, 22, 32, 83, 46, 84, 7, 17, 23, 34, 11, 33, 37, 10, 13, 48, 62, 73, 74, 75, 88, 91]
+STRUCTURAL_TAGS = [0, 1, 9, 24, 43, 56, 57, 58, 64, 65, 66, 69, 71, 76, 77, 78, 86]
+VECTOR_TAGS = [2, 4, 5, 7, 10, 11, 13, 17, 22, 23, 26, 28, 32, 33, 34, 37, 39, 46, 48, 62, 70, 73, 74, 75, 83, 84, 88, 91]
 SCRIPT_TAGS = [12, 59, 72, 82]
-MEDIA_TAGS = [6, 8, 21, 35, 90, 20, 36, 14, 15, 89, 18, 45, 19, 60, 61, 87]
+MEDIA_TAGS = [6, 8, 14, 15, 18, 19, 20, 21, 35, 36, 45, 60, 61, 87, 89, 90]
 MEDIA_BEARING_TAGS = [6, 14, 19, 20, 21, 35, 36, 60, 61, 87, 90]
 SOUND_RATES = [5512, 11025, 22050, 44100]
 
@@ -67,7 +67,10 @@ def _png(rgba: np.ndarray) -> bytes:
 
 
 def raster(body: bytes, alpha: bool) -> np.ndarray | None:
-    """RGBA pixels of a lossless picture's tag body after its id: palette, 15 or 24 bits, or with alpha; null if malformed."""
+    """RGBA pixels of a lossless picture's tag body after its id: palette, 15 or 24 bits, or with alpha; null if malformed.
+
+    A pixel whose index is not in the palette is transparent black.
+    """
     if body is None or len(body) < 5:
         return None
     kind, w, h = struct.unpack_from("<BHH", body)
@@ -89,9 +92,9 @@ def raster(body: bytes, alpha: bool) -> np.ndarray | None:
         size = 4 if alpha else 3
         palette = np.frombuffer(data, np.uint8, colours * size).reshape(-1, size)
         index = np.frombuffer(data, np.uint8, row * h, colours * size).reshape(h, row)[:, :w]
-        if index.max(initial=0) >= colours:
-            return None
-        out[..., :size] = palette[index]
+        known = index < colours
+        out[..., :size] = palette[np.where(known, index, 0)]
+        out[~known] = 0
     elif kind == 4:
         v = np.frombuffer(data, ">u2", row * h // 2).reshape(h, row // 2)[:, :w]
         for c, shift in enumerate((10, 5, 0)):
@@ -112,7 +115,7 @@ def lossless_png(body: pd.Series, alpha: pd.Series) -> pd.Series:
     return pd.Series([None if m is None else _png(m) for m in made])
 
 
-# Phrases of extractor errors and the class that the first of them names.
+# Phrases of extractor errors and the class that the first of them names, in the order that they are asked.
 ERROR_PHRASES = [
     ("unsupported site", ["unsupported url", "no suitable extractor"]),
     ("protected", ["drm", "protected by"]),
@@ -122,18 +125,26 @@ ERROR_PHRASES = [
     ("live", ["live event", "is live", "live stream has not", "premieres in"]),
     ("unavailable", ["video unavailable", "this video is unavailable", "has been removed", "no longer available", "does not exist", "account associated with this video has been terminated"]),
     ("no usable format", ["requested format is not available", "no video formats found", "only images are available"]),
+    ("network", ["unable to download", "connection reset", "timed out", "temporary failure in name resolution"]),
 ]
 
 
-def error_class(kind: Column, message: Column) -> Column:
-    """The class of an extractor's error: missing modules first, then the first phrase that its message has."""
-    text, out = F.lower(message), F.when((kind == "URLError") | kind.contains("HTTPError"), "network").otherwise("other")
+def error_class(kind: Column, message: Column, restricted: Column | None = None) -> Column:
+    """The class of an extractor's error.
+
+    A flagged platform restriction comes first, then missing modules, then the
+    first phrase that the message has; errors of the transport are of the network
+    whatever they say, and the rest is ``other``. Null kinds and messages count as empty.
+    """
+    kind, text = F.coalesce(kind, F.lit("")), F.lower(F.coalesce(message, F.lit("")))
+    out = F.when((kind == "URLError") | kind.contains("HTTPError"), "network").otherwise("other")
     for name, phrases in reversed(ERROR_PHRASES):
         hit = F.lit(False)
         for p in phrases:
             hit = hit | text.contains(p)
         out = F.when(hit, name).otherwise(out)
-    return F.when((kind == "ModuleNotFoundError") | kind.endswith("ImportError"), "not installed").otherwise(out)
+    out = F.when((kind == "ModuleNotFoundError") | kind.endswith("ImportError"), "not installed").otherwise(out)
+    return out if restricted is None else F.when(F.coalesce(restricted, F.lit(False)), "restricted").otherwise(out)
 
 
 def route(url: Column, tool: Column, named: Column, gallery: Column) -> Column:

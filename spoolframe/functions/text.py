@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import prefix_sums
+
 # Words that end a title in a release name.
 RELEASE_TAGS = [
     "1080p", "1080i", "720p", "480p", "2160p", "4k", "uhd", "hd", "sd",
@@ -236,6 +238,5 @@ def word_ranges(text: Column) -> Column:
     """(start, stop) of every run without white space."""
     words = F.regexp_extract_all(text, F.lit(r"(\S+)"), F.lit(1))
     gaps = F.split(text, r"\S+", -1)
-    step = lambda done, x: F.array_append(done, F.struct((F.coalesce(F.try_element_at(done, F.lit(-1))["stop"], F.lit(0)) + F.length(x["gap"])).alias("start"), (F.coalesce(F.try_element_at(done, F.lit(-1))["stop"], F.lit(0)) + F.length(x["gap"]) + F.length(x["word"])).alias("stop")))
-    pairs = F.transform(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(words)).alias("gap"), words.alias("word")), lambda x: F.struct(x["gap"].alias("gap"), x["word"].alias("word")))
-    return F.aggregate(pairs, F.array().cast("array<struct<start:int,stop:int>>"), step)
+    stops = prefix_sums(F.zip_with(F.slice(gaps, F.lit(1), F.size(words)), words, lambda g, w: F.length(g) + F.length(w)))
+    return F.zip_with(stops, words, lambda stop, w: F.struct((stop - F.length(w)).alias("start"), stop.alias("stop")))

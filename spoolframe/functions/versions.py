@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
+
 # The version grammar, and specifier operators, longest first.
 GRAMMAR = (
     r"(?i)^\s*v?(?:([0-9]+)!)?([0-9]+(?:\.[0-9]+)*)"
@@ -24,26 +26,43 @@ def _number(text: Column) -> Column:
     return F.lpad(F.regexp_replace(F.coalesce(F.nullif(text, F.lit("")), F.lit("0")), "^0+(?=[0-9])", ""), DIGITS, "0")
 
 
+#: Puts the ten groups of the grammar side by side, so that one match gives them all.
+_GROUPS, _BETWEEN = "\x1f".join(f"${i}" for i in range(1, 11)), "\x1f"
+
+
+def _parts(text: Column) -> Column:
+    """The groups of the grammar, in lower case; a text that is no version is one part."""
+    return F.split(F.lower(F.regexp_replace(text, GRAMMAR, _GROUPS)), _BETWEEN)
+
+
 def is_version(text: Column) -> Column:
     return text.rlike(GRAMMAR)
 
 
+def _public(p: Column) -> Column:
+    """The sort key of a version's groups without its local part."""
+    part = lambda i: F.element_at(p, i)
+    release = F.split(part(2), r"\.")
+    padded = F.array_join(F.transform(F.slice(F.concat(release, F.array_repeat(F.lit("0"), SEGMENTS)), F.lit(1), F.greatest(F.lit(SEGMENTS), F.size(release))), lambda s: _number(s)), ".")
+    pre = F.when(part(3).isin("a", "alpha"), "a").when(part(3).isin("b", "beta"), "b").when(part(3) != "", "c")
+    post = F.when(part(5) != "", _number(part(5))).when(part(6) != "", _number(part(7)))
+    dev = F.when(part(8) != "", _number(part(9)))
+    stage = F.when(pre.isNull() & post.isNull() & dev.isNotNull(), F.lit("0")).when(pre.isNotNull(), F.concat(F.lit("1"), pre, _number(part(4)))).otherwise(F.lit("2"))
+    return F.concat_ws("|", _number(part(1)), padded, stage, F.coalesce(F.concat(F.lit("1"), post), F.lit("0")), F.coalesce(F.concat(F.lit("0"), dev), F.lit("1")))
+
+
+def _local(p: Column) -> Column:
+    words = F.transform(F.split(F.element_at(p, 10), "[-_.]"), lambda s: F.when(s.rlike("^[0-9]+$"), F.concat(F.lit("1"), _number(s))).otherwise(F.concat(F.lit("0"), s)))
+    return F.when(F.element_at(p, 10) == "", F.lit("")).otherwise(F.array_join(words, "."))
+
+
 def sort_key(text: Column) -> Column:
     """A string whose byte order is version order; null if the text is no version.
 
     1.0 and 1.0.0 have one key. Order within a release: dev, alpha, beta,
     candidate, final, post; a local part comes after none, numbers after words.
     """
-    part = lambda i: F.lower(F.regexp_extract(text, GRAMMAR, i))
-    release = F.split(part(2), r"\.")
-    padded = F.array_join(F.transform(F.slice(F.concat(release, F.array_repeat(F.lit("0"), SEGMENTS)), 1, F.greatest(F.lit(SEGMENTS), F.size(release))), lambda s: _number(s)), ".")
-    pre = F.when(part(3).isin("a", "alpha"), "a").when(part(3).isin("b", "beta"), "b").when(part(3) != "", "c")
-    post = F.when(part(5) != "", _number(part(5))).when(part(6) != "", _number(part(7)))
-    dev = F.when(part(8) != "", _number(part(9)))
-    stage = F.when(pre.isNull() & post.isNull() & dev.isNotNull(), F.lit("0")).when(pre.isNotNull(), F.concat(F.lit("1"), pre, _number(part(4)))).otherwise(F.lit("2"))
-    local = F.transform(F.split(part(10), "[-_.]"), lambda s: F.when(s.rlike("^[0-9]+$"), F.concat(F.lit("1"), _number(s))).otherwise(F.concat(F.lit("0"), s)))
-    key = F.concat_ws("|", _number(part(1)), padded, stage, F.coalesce(F.concat(F.lit("1"), post), F.lit("0")), F.coalesce(F.concat(F.lit("0"), dev), F.lit("1")), F.when(part(10) == "", F.lit("")).otherwise(F.array_join(local, ".")))
-    return F.when(is_version(text), key)
+    return let(_parts(text), lambda p: F.when(F.size(p) == 10, F.concat_ws("|", _public(p), _local(p))))
 
 
 def is_prerelease(text: Column) -> Column:
@@ -51,37 +70,56 @@ def is_prerelease(text: Column) -> Column:
     return (F.regexp_extract(text, GRAMMAR, 3) != "") | (F.regexp_extract(text, GRAMMAR, 8) != "")
 
 
-def _release(text: Column) -> Column:
-    return F.transform(F.split(F.regexp_extract(text, GRAMMAR, 2), r"\."), lambda s: s.cast("long"))
+def _read(text: Column) -> Column:
+    """struct(public, key, epoch, release, local) of a version; its fields are null if the text is none."""
+    fields = lambda p: F.struct(
+        _public(p).alias("public"), F.concat_ws("|", _public(p), _local(p)).alias("key"), F.coalesce(F.element_at(p, 1).try_cast("long"), F.lit(0)).alias("epoch"),
+        F.transform(F.split(F.element_at(p, 2), r"\."), lambda s: s.cast("decimal(38,0)")).alias("release"), (F.element_at(p, 10) != "").alias("local"),
+    )
+    return let(_parts(text), lambda p: F.when(F.size(p) == 10, fields(p)))
 
 
-def _starts(version: Column, prefix: Column) -> Column:
-    """Whether a version's release, padded with zeros, starts with another's."""
-    p = _release(prefix)
-    v = F.slice(F.concat(_release(version), F.array_repeat(F.lit(0).cast("long"), 16)), F.lit(1), F.size(p))
-    return v == p
+def _starts(release: Column, prefix: Column) -> Column:
+    """Whether a release, padded with zeros, starts with another."""
+    return F.slice(F.concat(release, F.array_repeat(F.lit(0).cast("decimal(38,0)"), F.size(prefix))), F.lit(1), F.size(prefix)) == prefix
 
 
 def satisfies(version: Column, clause: Column) -> Column:
-    """Whether a version meets one clause such as ``>=1.2``; < and > are plain order."""
+    """Whether a version meets one clause such as ``>=1.2``.
+
+    < and > are plain order. == and != leave a local part aside unless the clause
+    has one, and compare text where its target is no version. A ``.*`` target
+    asks for the same epoch and a release that starts alike. ~= asks for two
+    segments or more, a version not below the target, and a release that starts
+    as the target without its last segment does, in epoch 0. No other clause is
+    met by a target that is no version. Null for a version that is none, but for
+    ===, which compares text, and for a text without an operator.
+    """
     op = F.regexp_extract(clause, r"^\s*(===|~=|==|!=|<=|>=|<|>)", 1)
     target = F.trim(F.regexp_replace(clause, r"^\s*(===|~=|==|!=|<=|>=|<|>)", ""))
     wild = target.endswith(".*")
-    stem = F.regexp_replace(target, r"\.\*$", "")
-    v, t = sort_key(version), sort_key(target)
-    shorter = F.regexp_replace(F.regexp_extract(target, GRAMMAR, 2), r"\.[0-9]+$", "")
-    return (
-        F.when(op == "===", F.trim(version) == target)
-        .when((op == "==") & wild, _starts(version, stem))
-        .when((op == "!=") & wild, ~_starts(version, stem))
-        .when(op == "==", v == t)
-        .when(op == "!=", v != t)
-        .when(op == "~=", (v >= t) & _starts(version, shorter))
-        .when(op == "<=", v <= t)
-        .when(op == ">=", v >= t)
-        .when(op == "<", v < t)
-        .when(op == ">", v > t)
-    )
+    both = F.struct(_read(version).alias("v"), _read(F.regexp_replace(target, r"\.\*$", "")).alias("t"), op.alias("op"), target.alias("target"), wild.alias("wild"), F.trim(version).alias("text"))
+
+    def decide(b: Column) -> Column:
+        v, t, known = b["v"], b["t"], b["t"]["key"].isNotNull()
+        begins = F.coalesce((v["epoch"] == t["epoch"]) & _starts(v["release"], t["release"]), F.lit(False))
+        same = F.when(b["wild"], begins).when(~known, b["text"] == b["target"]).when(t["local"], v["key"] == t["key"]).otherwise(v["public"] == t["public"])
+        ordered = known & ~b["wild"]
+        stem = F.slice(t["release"], F.lit(1), F.size(t["release"]) - 1)
+        near = ordered & (F.size(t["release"]) >= 2) & (v["epoch"] == 0) & (v["key"] >= t["key"]) & _starts(v["release"], stem)
+        return (
+            F.when(b["op"] == "===", b["text"] == b["target"])
+            .when(v["key"].isNull(), F.lit(None).cast("boolean"))
+            .when(b["op"] == "==", same)
+            .when(b["op"] == "!=", ~same)
+            .when(b["op"] == "~=", F.coalesce(near, F.lit(False)))
+            .when(b["op"] == "<=", F.coalesce(ordered & (v["key"] <= t["key"]), F.lit(False)))
+            .when(b["op"] == ">=", F.coalesce(ordered & (v["key"] >= t["key"]), F.lit(False)))
+            .when(b["op"] == "<", F.coalesce(ordered & (v["key"] < t["key"]), F.lit(False)))
+            .when(b["op"] == ">", F.coalesce(ordered & (v["key"] > t["key"]), F.lit(False)))
+        )
+
+    return let(both, decide)
 
 
 def satisfies_all(version: Column, clauses: Column) -> Column:

@@ -52,7 +52,7 @@ def zip_entries(data: bytes) -> list[dict]:
                 values = [plain, packed, offset]
                 j = k + 4
                 for i in range(3):
-                    if wanted[i] and j + 8 <= k + 4 + length:
+                    if wanted[i] and j + 8 <= min(k + 4 + length, len(more)):
                         values[i] = struct.unpack_from("<Q", more, j)[0]
                         j += 8
                 plain, packed, offset = values
@@ -261,6 +261,7 @@ def movie_seconds(data: bytes) -> float | None:
     for box in iso_boxes(data):
         if box["path"] == "/moov/mvhd":
             at = box["offset"] + 8
+            _need(at < len(data), "cut movie header")
             form = ">IQ" if data[at] == 1 else ">II"
             _need(at + (32 if data[at] == 1 else 20) <= len(data), "cut movie header")
             scale, length = struct.unpack_from(form, data, at + (20 if data[at] == 1 else 12))
@@ -386,8 +387,10 @@ def swf_tags(data: bytes) -> list[dict]:
 # Subtitles
 
 _TIME = re.compile(r"(?:(\d+):)?(\d{1,2}):(\d{1,2})(?:[,.](\d{1,3}))?$")
-_TAG = re.compile(r"</?([a-zA-Z]+)[^<>]*>|\{\\([ibus])(\d)\}|\{[^{}]*\}")
-_STYLES = {"b": 1, "strong": 1, "i": 2, "em": 2, "u": 4, "s": 8}
+#: A tag or time in angle brackets, a block of overrides, or a character reference; each is short.
+_MARK = re.compile(r"<\s*(?:(/?)\s*([^\W\d_]+)[^>]{0,250}|[0-9:.]+\s*)>|\{\\([^}]{0,255})\}|&(#[xX]?[0-9a-fA-F]{1,9}|\w{1,11});")
+#: Style bits, and the tags that they are written as.
+_STYLES = {"b": 1, "i": 2, "u": 4}
 # Named character references of subtitles.
 _ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "lrm": "‎", "rlm": "‏"}
 
@@ -417,94 +420,118 @@ def _seconds(text: str) -> float | None:
 
 
 def strip_markup(text: str) -> tuple[str, list[dict]]:
-    """Text without tags, and its style runs in characters; unclosed styles end with the text."""
-    out, runs, active, at = [], [], {}, 0
-    size = 0
+    """Text without tags, and its style runs in characters: disjoint, in order, each with the bits of all its styles.
+
+    Tags nest by count, overrides set a style on or off, and a style that is not
+    closed ends with the text. Spaces at line ends and blank lines go, and the
+    runs move with the text.
+    """
+    depth, out, marked, at = dict.fromkeys(_STYLES, 0), [], [], 0
 
     def add(piece: str) -> None:
-        nonlocal size
-        piece = re.sub(r"&(?:#(\d+)|#x([0-9a-fA-F]+)|(\w+));", lambda m: _entity(m), piece)
         out.append(piece)
-        size += len(piece)
-
-    def close(style: int) -> None:
-        lo = active.pop(style, None)
-        if lo is not None and size > lo:
-            runs.append({"lo": lo, "hi": size, "style": style})
+        marked.extend([sum(bit for name, bit in _STYLES.items() if depth[name])] * len(piece))
 
-    for m in _TAG.finditer(text):
+    for m in _MARK.finditer(text):
         add(text[at : m.start()])
         at = m.end()
-        name = (m[1] or m[2] or "").lower()
-        style = _STYLES.get(name)
-        if style is None:
-            continue
-        if m[2] and m[3] == "0" or m[1] and text[m.start() + 1] == "/":
-            close(style)
-        else:
-            active.setdefault(style, size)
+        if m[2] and m[2].lower() in depth:
+            name = m[2].lower()
+            depth[name] = max(0, depth[name] + (-1 if m[1] else 1))
+        elif m[3]:
+            for word in m[3].split("\\"):
+                if len(word) == 2 and word[0] in depth and word[1] in "01":
+                    depth[word[0]] = int(word[1])
+        elif m[4]:
+            add(_entity(m))
     add(text[at:])
-    for style in list(active):
-        close(style)
     whole = "".join(out)
-    lead = len(whole) - len(whole.lstrip())
-    shown = whole.strip()
-    cut = [{"lo": max(0, r["lo"] - lead), "hi": min(len(shown), r["hi"] - lead), "style": r["style"]} for r in runs]
-    return shown, sorted((r for r in cut if r["hi"] > r["lo"]), key=lambda r: (r["lo"], r["hi"], r["style"]))
+    keep = [True] * len(whole)
+    for m in re.finditer(r"[ \t]+(?=\n|$)|^\s+|\s+$", whole):
+        keep[m.start() : m.end()] = [False] * (m.end() - m.start())
+    line_ended = False
+    for i, c in enumerate(whole):
+        if keep[i]:
+            keep[i] = c != "\n" or not line_ended
+            line_ended = c == "\n"
+    shown = [(c, style) for c, style, k in zip(whole, marked, keep) if k]
+    runs: list[dict] = []
+    for i, (_, style) in enumerate(shown):
+        if style and runs and runs[-1]["hi"] == i and runs[-1]["style"] == style:
+            runs[-1]["hi"] = i + 1
+        elif style:
+            runs.append({"lo": i, "hi": i + 1, "style": style})
+    return "".join(c for c, _ in shown), runs
 
 
 def _entity(m: re.Match) -> str:
+    name = m[4]
+    if not name.startswith("#"):
+        return _ENTITIES.get(name, m[0])
+    digits, base = (name[2:], 16) if name[1:2] in ("x", "X") else (name[1:], 10)
     try:
-        if m[1] or m[2]:
-            return chr(int(m[1]) if m[1] else int(m[2], 16))
-    except (ValueError, OverflowError):
+        code = int(digits, base)
+    except ValueError:
         return m[0]
-    return _ENTITIES.get(m[3], m[0])
+    return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else m[0]
+
+
+def subtitle_format(text: str) -> str:
+    """``vtt`` for a text that opens with the WebVTT header, else ``srt``."""
+    return "vtt" if re.match(r"WEBVTT(?:[ \t\n]|$)", text.lstrip("\ufeff")) else "srt"
 
 
 def subtitle_cues(data: bytes, strict: bool = False) -> list[dict]:
-    """Cues of SubRip or WebVTT: start, end, text and style runs. Bad cues are passed over unless ``strict``."""
+    """Cues of SubRip or WebVTT in order of their start: start, end, text and style runs.
+
+    A cue's text ends at a blank line, at the next timing line, or at the number
+    (in WebVTT any line) right above it. Bad cues are passed over unless ``strict``.
+    """
     _need(len(data) <= MOST_SUBTITLE, "subtitles too large")
-    lines = decode_text(data).replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    text = decode_text(data).replace("\r\n", "\n").replace("\r", "\n")
+    vtt, lines = subtitle_format(text) == "vtt", text.split("\n")
+    timed = ["-->" in line for line in lines] + [False]
+    blank = [not line.strip(" \t\ufeff") for line in lines]
     out, k = [], 0
     while k < len(lines):
-        if re.match(r"(NOTE|STYLE|REGION)\b", lines[k]):
-            while k < len(lines) and lines[k].strip():
+        if blank[k]:
+            k += 1
+        elif not timed[k] and not timed[k + 1] or vtt and not timed[k] and re.match(r"(NOTE|STYLE|REGION)(?:[ \t]|$)", lines[k]):
+            known = vtt and (k == 0 or re.match(r"(NOTE|STYLE|REGION)(?:[ \t]|$)", lines[k]))
+            _need(known or not strict, f"text outside a cue in line {k + 1}")
+            while k < len(lines) and not blank[k] and not (vtt and timed[k] and k):
                 k += 1
-        elif "-->" in lines[k]:
+        else:
+            k += not timed[k]
+            at, body = k, []
             left, right = lines[k].split("-->", 1)
             start, end = _seconds(left), _seconds((right.split() or [""])[0])
-            k, body = k + 1, []
-            while k < len(lines) and lines[k].strip():
-                body.append(lines[k])
-                k += 1
-            text, runs = strip_markup("\n".join(body))
-            fine = start is not None and end is not None and end > start and len(text) <= MOST_CUE
-            _need(fine or not strict, f"bad cue before line {k + 1}")
-            if fine and text:
-                out.append({"pos": len(out), "start": start, "end": end, "text": text, "runs": runs})
-        else:
             k += 1
-    return out
+            while k < len(lines) and not blank[k] and not timed[k] and not (timed[k + 1] and (vtt or re.fullmatch(r"\s*[0-9]+\s*", lines[k]))):
+                body.append(lines[k].strip())
+                k += 1
+            raw = "\n".join(body)
+            fine = start is not None and end is not None and end > start and len(raw.encode("utf-8", "replace")) <= MOST_CUE
+            _need(fine or not strict, f"bad cue in line {at + 1}")
+            shown, runs = strip_markup(raw) if fine else ("", [])
+            if shown:
+                out.append({"start": start, "end": end, "text": shown, "runs": runs})
+    out.sort(key=lambda c: c["start"])
+    return [{"pos": i, **c} for i, c in enumerate(out)]
 
 
 def render_markup(text: str, runs: list[dict], escape: bool = False) -> str:
-    """Text with nested tags for its style runs, the inverse of ``strip_markup``."""
-    names = {1: "b", 2: "i", 4: "u", 8: "s"}
-    out, held = [], []
-    edges = sorted({0, len(text), *(r["lo"] for r in runs), *(r["hi"] for r in runs)})
-    for lo, hi in zip(edges, edges[1:]):
-        want = [r["style"] for r in sorted(runs, key=lambda r: (r["lo"], -r["hi"])) if r["lo"] <= lo and r["hi"] >= hi]
-        while held and held != want[: len(held)]:
-            out.append(f"</{names[held.pop()]}>")
-        for style in want[len(held) :]:
-            out.append(f"<{names[style]}>")
-            held.append(style)
-        piece = text[lo:hi]
-        out.append(piece.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;") if escape else piece)
-    while held:
-        out.append(f"</{names[held.pop()]}>")
-    return "".join(out)
+    """Text with tags around its style runs, the inverse of ``strip_markup``; of runs that overlap the earlier keeps the text."""
+    plain = lambda s: s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;") if escape else s
+    out, at = [], 0
+    for run in sorted(runs, key=lambda r: r["lo"]):
+        lo = max(at, min(run["lo"], len(text)))
+        hi = max(lo, min(run["hi"], len(text)))
+        if hi > lo:
+            tags = [name for name, bit in _STYLES.items() if run["style"] & bit]
+            out += [plain(text[at:lo]), *(f"<{t}>" for t in tags), plain(text[lo:hi]), *(f"</{t}>" for t in reversed(tags))]
+            at = hi
+    return "".join([*out, plain(text[at:])])
 
 
 def timed_text(data: bytes) -> list[dict]:
@@ -524,9 +551,8 @@ def timed_text(data: bytes) -> list[dict]:
                 if p + 12 > len(data):
                     break
                 lo, hi, _, face = struct.unpack_from(">HHHB", data, p)
-                for bit, style in ((1, 1), (2, 2), (4, 4)):
-                    if face & bit and min(hi, len(text)) > lo:
-                        runs.append({"lo": lo, "hi": min(hi, len(text)), "style": style})
+                if face & 7 and min(hi, len(text)) > lo:
+                    runs.append({"lo": lo, "hi": min(hi, len(text)), "style": face & 7})
         at += size
     return [{"text": text, "runs": runs}]
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,8 +15,18 @@ from pyspark.sql.types import StructType
 from ..functions import media as M
 from .containers import PARSERS, BadFile
 
-#: Bytes that a file may have at most to be read.
-MOST_BYTES = 4 << 30
+#: Bytes that a file may have at most to be read; one value of a column holds no more.
+MOST_BYTES = (1 << 31) - 1
+#: Errors that bytes can raise in a parser beside ``BadFile``; each becomes the row's error.
+#: ``BadFile`` is a ``ValueError``, and so are values that a column cannot hold.
+UNREADABLE = (struct.error, IndexError, KeyError, OverflowError, RecursionError, ValueError, zlib.error)
+#: Rows that are put together before they go back to Spark.
+BATCH_ROWS = 2000
+
+
+def reason(error: Exception) -> str:
+    """What a row says of the file that could not be read."""
+    return str(error) if isinstance(error, BadFile) else f"{type(error).__name__}: {error}"
 
 
 def allowed_source(url: Column) -> Column:
@@ -48,6 +60,7 @@ def parse(files: DataFrame, parser: str, keep: list[str], content: str = "conten
     names = StructType.fromDDL(columns).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             for i in range(len(batch)):
                 own = {k: batch.column(j)[i].as_py() for j, k in enumerate(kept.names)}
@@ -55,17 +68,24 @@ def parse(files: DataFrame, parser: str, keep: list[str], content: str = "conten
                 try:
                     if data is None:
                         raise BadFile("no bytes")
-                    rows = [{**own, **r, "error": None} for r in function(data)]
-                except BadFile as e:
-                    rows = [{**own, **dict.fromkeys(names), "error": str(e)}]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=shape)
+                    made = pa.RecordBatch.from_pylist([{**own, **r, "error": None} for r in function(data)], schema=shape)
+                except UNREADABLE as e:
+                    made = pa.RecordBatch.from_pylist([{**own, **dict.fromkeys(names), "error": reason(e)}], schema=shape)
+                held.append(made)
+                if sum(map(len, held)) >= BATCH_ROWS or len(held) >= BATCH_ROWS:
+                    yield from pa.Table.from_batches(held, shape).combine_chunks().to_batches()
+                    held = []
+        if held:
+            yield from pa.Table.from_batches(held, shape).combine_chunks().to_batches()
 
     return files.select(*keep, content).mapInArrow(run, out)
 
 
 def register_table_functions(spark: SparkSession) -> None:
-    """The parsers as SQL table functions: ``SELECT * FROM zip_entries(content)``, with lateral joins."""
+    """The parsers as SQL table functions: ``SELECT * FROM zip_entries(content)``, with lateral joins.
+
+    As in ``parse``, a file that cannot be read is one row of nulls with its ``error``.
+    """
     from pyspark.sql.functions import udtf
 
     for name, (function, columns) in PARSERS.items():
@@ -76,12 +96,14 @@ def register_table_functions(spark: SparkSession) -> None:
 
             def eval(self, content: bytes):
                 try:
-                    for row in self._function(content or b""):
-                        yield tuple(row[f] for f in self._fields)
-                except BadFile:
-                    return
+                    if content is None:
+                        raise BadFile("no bytes")
+                    rows = [(*(row[f] for f in self._fields), None) for row in self._function(content)]
+                except UNREADABLE as e:
+                    rows = [(*(None for _ in self._fields), reason(e))]
+                yield from rows
 
-        spark.udtf.register(name, udtf(Parse, returnType=columns))
+        spark.udtf.register(name, udtf(Parse, returnType=f"{columns}, error string"))
 
 
 def book(pages: DataFrame, key: str, order: str, name: str, content: str) -> DataFrame:

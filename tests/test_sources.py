@@ -119,7 +119,8 @@ def test_parse_rows(spark):
     assert [(r.id, r.name, r.error is None) for r in got] == [(1, "p2.jpg", True), (1, "p10.jpg", True), (2, None, False), (3, None, False)]
     files.register_table_functions(spark)
     spark.createDataFrame(rows, "id int, content binary").createOrReplaceTempView("archives")
-    assert spark.sql("SELECT id, name FROM archives, LATERAL zip_entries(content)").count() == 2
+    assert spark.sql("SELECT id, name FROM archives, LATERAL zip_entries(content) WHERE error IS NULL").count() == 2
+    assert sorted(r.id for r in spark.sql("SELECT id FROM archives, LATERAL zip_entries(content) WHERE error IS NOT NULL").collect()) == [2, 3]
 
 
 def test_read_files(spark, tmp_path):
@@ -133,7 +134,7 @@ def test_read_files(spark, tmp_path):
 
 def test_sinks(spark):
     cues = spark.createDataFrame([("d", 1, 2.0, 3.0, "b<"), ("d", 0, 0.5, 1.0, "a")], "doc string, pos int, start double, end double, text string")
-    assert sinks.subrip(cues, "doc").first().text == "1\n00:00:00,500 --> 00:00:01,000\na\n\n2\n00:00:02,000 --> 00:00:03,000\nb<\n"
+    assert sinks.subrip(cues, "doc").first().text == "1\n00:00:00,500 --> 00:00:01,000\na\n\n2\n00:00:02,000 --> 00:00:03,000\nb<\n\n"
     assert sinks.webvtt(cues, "doc").first().text.startswith("WEBVTT\n\n00:00:00.500") and "b&lt;" in sinks.webvtt(cues, "doc").first().text
     pages = spark.createDataFrame([("k", 1, "002.jpg", b"2"), ("k", 0, "001.jpg", b"1")], "k string, pos int, name string, content binary")
     made = files.book(pages, "k", "pos", "name", "content").first().content
