@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import Written, join_counted, slices
 from .quality import held_out
 
 #: Most documents of one language that a model is fitted on.
@@ -150,11 +150,16 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
     chosen from the narrow columns: a threshold on the hash, set by the
     language's count, leaves about twice the number wanted, and a rank cuts it;
     so the ids that are broadcast and the rows that are gathered are bounded by
-    the number of languages times ``per_language``.
+    the number of languages times ``per_language``. Rows learn their language's
+    count by ``join_counted``, so no language's rows meet in one task. Rows with a
+    null id, language or text teach nothing; of an id repeated with several texts
+    in a language one text counts; an empty table gives a model that knows no
+    language.
     """
     narrow = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("long")).alias("h"))
-    share = narrow.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(2.0 * per_language + 50) / F.count("*")).alias("share"))
-    low = narrow.join(share, "lang").where((F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))) < F.col("share"))
+    count = Written(narrow.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    share = F.lit(2.0 * per_language + 50) / F.col("n")
+    low = join_counted(narrow, count.df, ["lang"], "n", "id").where((F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))) < share)
     ranked = low.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "id"))), 1, per_language).alias("rows"))
     sample = ranked.select("lang", F.explode("rows").alias("r")).select("lang", F.col("r.id").alias("id")).distinct()
 
@@ -165,8 +170,9 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "lang", "x"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    got = source.join(F.broadcast(sample), ["id", "lang"]).select("id", "lang", "text").mapInArrow(run, "id long, lang string, x binary").toPandas()
-    got = got.sort_values(["lang", "id"]).drop_duplicates(["lang", "id"])
+    found = source.join(F.broadcast(sample), ["id", "lang"]).select("id", "lang", "text").mapInArrow(run, "id long, lang string, x binary")
+    got = found.groupBy("id", "lang").agg(F.min("x").alias("x")).toPandas().sort_values(["lang", "id"])
+    count.drop()
     x = np.stack([np.frombuffer(v, np.float32) for v in got["x"]]) if len(got) else np.zeros((0, sum(CELLS)), np.float32)
     return fit(x, got["lang"].tolist())
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Written, join_counted
+
 #: A Poisson mean above this is the sum of equal smaller ones, as its smallest chance would vanish.
 LARGEST_MEAN = 500.0
 
@@ -33,23 +35,23 @@ def poisson(sums: Column, u: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, source_col: str = "source") -> DataFrame:
-    """``(source, mean)``: expected copies of each document of a source, one row per source.
+    """``(source, rows, mean)``: documents of a source and expected copies of each, one row per source.
 
     A source's share of ``total`` rows (all rows by default) is its weight among
     the sources that are there; without weights all get the same share.
     """
-    counts = docs.groupBy(F.col(source_col).alias("source__")).agg(F.count("*").alias("n__"))
+    counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("rows"))
     if weights is None:
         weight = F.lit(1.0)
     elif weights:
-        weight = F.coalesce(F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))[F.col("source__")], F.lit(0.0)).cast("double")
+        weight = F.coalesce(F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))[F.col("source").cast("string")], F.lit(0.0)).cast("double")
     else:
         weight = F.lit(0.0)
-    weighed = counts.withColumn("weight__", weight)
-    sums = weighed.agg(F.sum("weight__").alias("all__"), F.sum("n__").alias("rows__"))
-    target = F.lit(float(total)) if total is not None else F.col("rows__").cast("double")
+    weighed = counts.withColumn("weight", weight)
+    sums = weighed.agg(F.sum("weight").alias("weights"), F.sum("rows").alias("all"))
+    target = F.lit(float(total)) if total is not None else F.col("all").cast("double")
     both = weighed.join(F.broadcast(sums))  # one row
-    return both.select(F.col("source__"), F.when(F.col("all__") > 0, F.col("weight__") / F.col("all__") * target / F.col("n__")).otherwise(0.0).alias("mean__"))
+    return both.select("source", "rows", F.when(F.col("weights") > 0, F.col("weight") / F.col("weights") * target / F.col("rows")).otherwise(0.0).alias("mean"))
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, seed: int = 0, partitions: int | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -58,7 +60,9 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total:
     Each document appears as often as a Poisson count says, whose mean is its
     source's target repetition rate (see ``rates``) and whose chance comes from a
     hash of seed and id; so the same input gives the same mixture at any
-    partitioning, and no source's rows meet in one task. Added columns: ``copy``
+    partitioning. Rows learn their source's rate where they are read, or for the
+    smaller of many sources by ``join_counted``, so no source's rows meet in one
+    task; then they are shuffled once, by the order of the mixture. Added columns: ``copy``
     (0-based), ``copies`` and ``order_key``, the hash by which rows are dealt to
     partitions and sorted in each. Documents with a count of zero are not in the
     mixture.
@@ -69,19 +73,21 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total:
     added ones are replaced. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    # Tables of one row per source: how many parts its mean is the sum of, and a part's cumulated chances.
-    parts = F.greatest(F.ceil(F.col("mean__") / LARGEST_MEAN), F.lit(1)).cast("int")
-    means = rates(docs, weights, total, source_col).where("mean__ > 0").withColumn("parts__", parts)
-    means = means.withColumn("part__", F.col("mean__") / F.col("parts__")).withColumn("sums__", poisson_sums(F.col("part__")))
-    plain = docs.drop("copy", "copies", "order_key")
-    met = plain.join(means, F.expr(f"`{source_col}` <=> source__"))
+    # A table of one row per source: how many parts its mean is the sum of, and a part's cumulated chances.
+    parts = F.greatest(F.ceil(F.col("mean") / LARGEST_MEAN), F.lit(1)).cast("int")
+    means = rates(docs, weights, total, source_col).where("mean > 0").withColumn("parts", parts)
+    means = Written(means.withColumn("sums", poisson_sums(F.col("mean") / F.col("parts"))).select("source", "rows", "parts", "sums"), "rates")
+    plain = [c for c in docs.columns if c not in ("copy", "copies", "order_key")]
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    whole = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(plain)))
     # The first chance is a column of its own, worked out once per row, not at every step of the count.
-    drawn = met.withColumn("u__", uniform(F.lit(seed), key, F.lit(0)))
-    rest = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("parts__") - 1), lambda i: poisson(F.col("sums__"), uniform(F.lit(seed), key, i))), F.lit(0).cast("long"), lambda a, b: a + b)
-    count = poisson(F.col("sums__"), F.col("u__"))
-    counted = drawn.withColumn("copies", F.when(F.col("parts__") == 1, count).otherwise(count + rest)).where("copies > 0")
-    each = counted.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    keyed = each.withColumn("order_key", F.md5(F.concat_ws("|", F.lit(str(seed)), key, F.col("copy").cast("string"), F.lit("order"))))
+    rows = docs.select(F.col(source_col).alias("source"), key.alias("key"), whole.alias("whole"), uniform(F.lit(seed), key, F.lit(0)).alias("u"))
+    met = join_counted(rows, means.df, ["source"], "rows", "key").where("sums IS NOT NULL")
+    rest = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("parts") - 1), lambda i: poisson(F.col("sums"), uniform(F.lit(seed), F.col("key"), i))), F.lit(0).cast("long"), lambda a, b: a + b)
+    first = poisson(F.col("sums"), F.col("u"))
+    counted = met.withColumn("copies", F.when(F.col("parts") == 1, first).otherwise(first + rest)).where("copies > 0")
+    each = counted.select("key", "whole", "copies", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), "key", F.col("copy").cast("string"), F.lit("order")))
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(count, "order_key").sortWithinPartitions("order_key").select(*plain.columns, "copy", "copies", "order_key")
+    dealt = each.select("whole", "copy", "copies", order.alias("order_key")).repartition(count, "order_key").sortWithinPartitions("order_key")
+    return dealt.select(*(F.col(f"whole.c{i}").alias(c) for i, c in enumerate(plain)), "copy", "copies", "order_key")

@@ -15,6 +15,8 @@ from .tokenizing import encoder
 
 #: An open window with no more free tokens than this is left as it is when a task ends.
 SPARE = 8
+#: Tokens that open windows may hold before they are closed and packing starts anew; bounds a task's memory.
+HELD_TOKENS = 4_000_000
 #: Sequence numbers of a task start at its partition times this.
 PER_TASK = 1 << 40
 
@@ -22,15 +24,18 @@ SCHEMA = "id long, start long, length long, doc_tokens long, sequence_id long, o
 
 
 class Packer:
-    """Places pieces one at a time; memory is the open windows, of which a level holds few.
+    """Places pieces one at a time.
 
     ``level[h]`` counts open windows filled to ``h``. A piece of ``s`` tokens goes
     to the level (or a new window) that makes the sum of the squared counts least;
-    ties go to the fullest. A window that is full leaves at once.
+    ties go to the fullest. A window that is full leaves at once. Pieces that fit
+    no open window, such as many of just over half a window, pile up; once open
+    windows hold more than ``most`` tokens all are closed as at the end (see
+    ``finish``), so memory is bounded.
     """
 
-    def __init__(self, window: int, first: int = 0):
-        self.window, self.sequence = window, first
+    def __init__(self, window: int, first: int = 0, most: int = HELD_TOKENS):
+        self.window, self.sequence, self.most, self.held = window, first, most, 0
         self.level = np.zeros(window + 1, np.int64)
         self.open: list[list[list]] = [[] for _ in range(window)]
 
@@ -56,10 +61,14 @@ class Packer:
         self.level[best] -= bool(best)
         pieces.append(piece)
         if best + s == w:
+            self.held -= best
             yield from self._close(pieces)
         else:
             self.open[best + s].append(pieces)
             self.level[best + s] += 1
+            self.held += s
+            if self.held > self.most:
+                yield from self.finish()
 
     def finish(self, spare: int = SPARE) -> Iterator[tuple]:
         """Closes what is open: nearly full windows as they are, the others cut anew.
@@ -74,6 +83,8 @@ class Packer:
                     yield from self._close(pieces)
                 else:
                     rest += pieces
+            self.open[h] = []
+        self.level[:], self.held = 0, 0
         left = sum(p[2] for p in rest)
         goal, batch, room = 0, [], 0
         for who, start, size, tokens, ids in rest:
@@ -97,8 +108,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int | None
     ``ids`` (little-endian 32-bit ids). Each token, ``end_id`` included, is in
     exactly one piece. Windows that a long document fills are sequences of their
     own; the rest of each document is packed whole by ``Packer``. When a task
-    ends, the few windows still open are cut anew (see ``Packer.finish``), the
-    only place where a rest is cut. Sequences are of one task each, so nothing is
+    ends, or its open windows hold ``HELD_TOKENS``, they are cut anew (see
+    ``Packer.finish``), the only place where a rest is cut. Sequences are of one task each, so nothing is
     shuffled, skew cannot arise, and a lost task is redone with the same numbers.
 
     Null and empty texts are their end token alone, or no piece without one.

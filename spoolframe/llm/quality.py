@@ -201,7 +201,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
     The rows are the first by a hash of their id, chosen from ids and labels
     alone, so what is broadcast and gathered is bounded by ``sample_rows``.
     Labels other than 0 and 1, and null ids, are passed over; of repeated
-    labels of an id the larger counts.
+    labels of an id the larger counts, and of its repeated texts one. Null text
+    counts as empty. Without any labelled row the model scores 0.5 throughout.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("double").alias("label"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
@@ -215,8 +216,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     met = source.join(F.broadcast(sample), "id").select("id", "label", "text")
-    # sample_rows bounds the rows gathered; ids repeated in docs are cut to one each.
-    got = met.mapInArrow(run, "id long, label double, x array<double>").toPandas().sort_values("id").drop_duplicates("id")
+    # sample_rows bounds the rows gathered, as ids repeated in docs are cut to one each before.
+    got = met.mapInArrow(run, "id long, label double, x array<double>").groupBy("id").agg(F.min("label").alias("label"), F.min("x").alias("x")).toPandas().sort_values("id")
     x = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, len(FEATURES)))
     return fit(x, got["label"].to_numpy(float))
 
@@ -245,6 +246,14 @@ def quality_scores(docs: DataFrame, model: AdditiveModel, keep: list[str] | None
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those that the classifier, trained on ``labels``, scores below ``least``."""
+    """``docs`` without those that the classifier, trained on ``labels``, scores below ``least``.
+
+    Null text is scored as empty. Repeated rows and rows with a null id are each
+    judged by their text; all columns of ``docs`` are kept, whatever their names.
+    An empty table stays empty.
+    """
     model = train(docs, labels, id_col=id_col, text_col=text_col)
-    return quality_scores(docs, model, keep=docs.columns, id_col=id_col, text_col=text_col).where(F.col("score__") >= least).select(*docs.columns)
+    numbered = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    own = {name: f"c{docs.columns.index(name)}" for name in (id_col, text_col)}
+    good = quality_scores(numbered, model, keep=numbered.columns, id_col=own[id_col], text_col=own[text_col]).where(F.col("score__") >= least)
+    return good.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -30,48 +30,58 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose four-word shingle sets have a Jaccard similarity of 0.85 or more. Texts without words link with nothing; see ``jaccard_classes`` for null and repeated ids."""
     return jaccard_classes(documents(spark, sf_dir), width=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal normalised texts, one row per document; null counts as empty. See ``exact_groups``."""
     groups = exact_groups(documents(spark, sf_dir))
     return groups.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences of at most 1024 tokens; a null text is its end token. See ``pack``."""
     pieces = pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), window=1024, end_id=0)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy word-piece counts of every document; null and empty texts count zero. See ``token_counts``."""
     return token_counts(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids written to bit-packed files and read back; a null text is its end id. See ``token_files``."""
     files = token_files(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=2, with_ids=False)
     return files.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text; null counts as empty. See ``next_fingerprints``."""
     return next_fingerprints(documents(spark, sf_dir))
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document with corpus-wide ownership; null counts as empty. See ``secret_report``."""
     return secret_report(documents(spark, sf_dir))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of every document by a model that never saw the held-out ones; a text without letters is ``und``. See ``identify``."""
     docs = documents(spark, sf_dir)
     return language_id.identify(docs, language_id.train(docs))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document by a model that never saw the held-out labels; null is scored as empty. See ``quality_scores``."""
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.quality_scores(docs, quality.train(docs, labels))
 
 
 def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source at the same share of as many rows as there are, in the order of a global shuffle. See ``mix_sources``."""
     return mix_sources(documents(spark, sf_dir)).select("doc_id", "source", "copy", "copies", "order_key")
 
 

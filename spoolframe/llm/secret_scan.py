@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import prefix_sums
 from .common import Written
 
 #: Base kinds in their order: (kind, pattern, group that holds the value, fewest characters of it).
@@ -27,17 +28,14 @@ def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, fewest:
     """Matches of a pattern as structs, with code-point positions.
 
     Splitting at the matches gives the gaps between them, so a match starts after
-    the gaps and matches before it.
+    the gaps and matches before it; their running totals cost little more than
+    the number of matches.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     sizes = F.transform(whole, F.length)
-    ends = F.aggregate(
-        F.zip_with(F.slice(gaps, F.lit(1), F.size(whole)), sizes, lambda g, s: F.struct(g.alias("g"), s.alias("s"))),
-        F.array().cast("array<int>"),
-        lambda done, x: F.array_append(done, F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) + x["g"] + x["s"]),
-    )
+    ends = prefix_sums(F.zip_with(F.slice(gaps, F.lit(1), F.size(whole)), sizes, lambda g, s: g + s))
     rows = F.arrays_zip(ends.alias("stop"), sizes.alias("size"), value.alias("value"))
     found = F.transform(
         rows,
@@ -107,7 +105,12 @@ def _count(kind: str) -> Column:
 
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """Counts and span lists per row: ``n_assign, n_access, n_hex, base_sha256, spans``."""
+    """Counts and span lists per row: ``n_assign, n_access, n_hex, base_sha256, spans``.
+
+    Null and empty texts have no span: zero counts, empty ``spans``. Repeated rows
+    and null ids are rows of their own; spans that start together stand in the
+    order of their kinds. An empty table gives an empty result.
+    """
     found = secret_scan(docs, id_col, text_col, owner_col)
     counts = [_count(kind).alias(f"n_{kind}") for kind, *_ in BASE]
     return found.select(id_col, *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.array_sort(F.concat("base", "live"))).alias("spans"))
