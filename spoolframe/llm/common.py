@@ -80,10 +80,11 @@ def scratch(keep: list[Written] | None = None) -> Iterator[None]:
 HOT_KEYS = 1000
 
 
-def join_counted(rows: DataFrame, counts: DataFrame, on: list[str], size: str, spread: str) -> DataFrame:
+def join_counted(rows: DataFrame, counts: DataFrame, on: list[str], size: str, spread: str, total: int | None = None) -> DataFrame:
     """``rows`` left-joined by value (null equals null) with ``counts``, which has one row per key of ``on`` and its ``size``.
 
-    A key that more than one in ``HOT_KEYS`` of the counted rows have is hot. Hot
+    A key that more than one in ``HOT_KEYS`` of ``total`` rows have, or of the
+    counted ones where no total is given, is hot. Hot
     keys are fewer than ``HOT_KEYS`` whatever the table, so they are broadcast;
     the rows that they meet are spread by the column ``spread`` over the shuffle
     by which the others are joined. So no key brings its rows to one task. Where
@@ -91,7 +92,7 @@ def join_counted(rows: DataFrame, counts: DataFrame, on: list[str], size: str, s
     should be a written table.
     """
     names = [c for c in counts.columns if c not in on]
-    hot_at = F.col(size) * HOT_KEYS > (counts.agg(F.sum(size)).first()[0] or 0)
+    hot_at = F.col(size) * HOT_KEYS > ((counts.agg(F.sum(size)).first()[0] or 0) if total is None else total)
     few = F.broadcast(counts.where(hot_at).select(*(F.col(c).alias(f"hot_{c}") for c in counts.columns)))
     same = lambda a, b: [F.col(f"{a}{c}").eqNullSafe(F.col(f"{b}{c}")) for c in on]
     met = rows.join(few, same("", "hot_"), "left")

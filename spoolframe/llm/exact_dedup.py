@@ -9,6 +9,8 @@ from .common import Written, join_counted
 
 #: Bytes that the first digit takes, and by how much each next digit is wider.
 FIRST_DIGIT, WIDER = 32, 32
+#: Bits by which rows that are alone in their first digit are told; at most an eighth of a million words are broadcast.
+FILTER_BITS = 1 << 23
 
 
 def normalised(text: Column) -> Column:
@@ -34,7 +36,13 @@ def _settled(rows: DataFrame, text: str, closed: Column, first_digit: int, wider
     first = rows.select("id", "carried", content.alias("raw"))
     first = first.select("id", "carried", F.octet_length("raw").cast("long").alias("size"), F.substring("raw", 1, first_digit).alias("digit"))
     counts = Written(first.groupBy("size", "digit").agg(F.count("*").alias("n"), F.min("id").alias("label")).where("n > 1"), "digits")
-    met = join_counted(first, counts.df, ["size", "digit"], "n", "id")
+    # A bit for each hash of a group's first digit: rows whose bit is not set are alone, and what is closed of them goes on.
+    slot = F.pmod(F.xxhash64("size", "digit"), F.lit(FILTER_BITS))
+    words = counts.df.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 AS int))")).alias("bits"))
+    marked = first.withColumn("slot", slot).withColumn("place", F.floor(F.col("slot") / 64)).join(F.broadcast(words), F.col("place") == F.col("word"), "left")
+    alone = F.coalesce(F.expr("shiftright(bits, cast(slot % 64 AS int)) & 1"), F.lit(0)) == 0
+    sent = marked.select("id", F.when(alone, closed).otherwise(F.col("carried")).alias("carried"), "size", "digit")
+    met = join_counted(sent, counts.df, ["size", "digit"], "n", "id", rows.count())
 
     def settle(met: DataFrame, seen: int, group: str) -> Written:
         known = met.withColumns({"n": F.coalesce("n", F.lit(1)), "label": F.coalesce("label", "id")}).withColumn("open", (F.col("n") > 1) & (F.col("size") > seen))
@@ -48,7 +56,7 @@ def _settled(rows: DataFrame, text: str, closed: Column, first_digit: int, wider
         cut = still.select("id", "carried", "size", "group", "row", F.substring(content, seen + 1, digit).alias("digit"))
         counts = Written(cut.groupBy("group", "size", "digit").agg(F.count("*").alias("n"), F.min("id").alias("label"), F.min("row").alias("next")), "digits")
         seen += digit
-        done.append(settle(join_counted(cut, counts.df, ["group", "size", "digit"], "n", "row"), seen, "next"))
+        done.append(settle(join_counted(cut, counts.df, ["group", "size", "digit"], "n", "row", still.count()), seen, "next"))
         counts.drop()
         digit *= wider
     return [d.df.where("NOT open").select("id", "carried", "n", "label") for d in done]
@@ -65,8 +73,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the bytes alone (the SHA-256 column is only reported). Counting a digit
     combines before the shuffle, so a group that holds a third of all rows sends
     one row per task. Rows learn their group's count by ``join_counted``, which
-    brings the rows of no group to one task. Only the texts of open groups go on
-    to the next level.
+    brings the rows of no group to one task. A filter of fixed size tells most
+    rows that are alone in their first digit, so their texts are not sent; where
+    it is full, more are sent and nothing else changes. Only the texts of open
+    groups go on to the next level.
 
     Null text counts as empty; empty texts are equal. Rows with the same id are
     rows of their own: ``group_size`` counts rows and ``keep_id`` is the smallest
