@@ -1,6 +1,7 @@
 """The training-text operators against brute force, and on awkward tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -31,6 +32,7 @@ def odd(spark):
     """Nulls, empty and very long texts, ties, repeated rows, and columns named like the operators' own."""
     df = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string")
     names = ["id", "n", "rep", "digit", "rest", "label", "row", "hash", "score", "range", "tail", "start", "ids", "key", "block", "component", "sha", "size"]
+    names += ["mean", "mean__", "sums", "sums__", "u", "u__", "rows", "parts", "whole", "carried", "turn", "group", "slot", "word", "bits", "open", "next", "kept_rows__", "sha__", "text__", "score__", "held_out", "c0", "c1", "hot_n", "cold_n", "least", "base", "live", "owner"]
     return df.withColumns({c: F.lit("clash") for c in names})
 
 
@@ -334,6 +336,24 @@ def test_packing(docs, rows, odd, none):
     assert len(pieces[pieces.start == 0]) == len(ODD) and packing.pack(none, BYTE).count() == 0
 
 
+def test_packer_memory_is_bounded():
+    """Pieces of which no two share a window: windows are closed as they pile up, and no token is lost."""
+    p = packing.Packer(1024, most=200_000)
+    sequences, most, tokens = Counter(), 0, Counter()
+    for n in range(100_000):
+        for who, start, size, _, sequence, offset, ids in p.add(n, 0, np.zeros(600, np.uint32), 600):
+            assert offset == sequences[sequence] and len(ids) == size
+            sequences[sequence] += size
+            tokens[who] += size
+        most = max(most, sum(len(x[4]) for level in p.open for window in level for x in window))
+        assert n % 5000 or p.held == sum(len(x[4]) for level in p.open for window in level for x in window)
+    for who, _, size, _, sequence, _, _ in p.finish():
+        sequences[sequence] += size
+        tokens[who] += size
+    assert most <= 200_000 and set(tokens.values()) == {600} and len(tokens) == 100_000 and max(sequences.values()) <= 1024
+    assert sum(0 if n & (n - 1) == 0 else 1024 - n for n in sequences.values()) < 0.01 * 60_000_000
+
+
 def test_packer_takes_the_least_squares():
     p = packing.Packer(10)
     level = Counter()
@@ -389,6 +409,114 @@ def test_token_counts(docs, rows, odd, none):
     assert token_counts.token_counts(odd, BYTE).count() == len(ODD) and token_counts.token_counts(none, BYTE).count() == 0
 
 
+def test_votes_are_counted_pair_by_pair():
+    rng = np.random.default_rng(5)
+    model = language_id.LanguageModel(["f"], {"f": list("abcd")}, {"f": [(i, j) for i in range(4) for j in range(i + 1, 4)]}, {"f": rng.normal(size=(6, 8))})
+    x = rng.normal(size=(300, 7))
+    best, trust = model._vote("f", 4, x)
+    for row, got, sure in zip(x, best, trust):
+        wins, sums, worst = [0] * 4, [0.0] * 4, [math.inf] * 4
+        for (i, j), w in zip(model.pairs["f"], model.weights["f"]):
+            m = float(row @ w[:-1] + w[-1])
+            for k, side in ((i, m), (j, -m)):
+                wins[k] += side >= 0 if k == i else side > 0
+                sums[k] += max(-1.0, min(1.0, side))
+                worst[k] = min(worst[k], side)
+        rank = [(wins[k] + sums[k] / 16, -k) for k in range(4)]
+        assert got == max(range(4), key=lambda k: rank[k]) and abs(sure - 1 / (1 + math.exp(-3 * worst[got]))) < 1e-9
+
+
+def test_svm_is_near_the_best_plane():
+    """With enough rounds no plane that a long descent finds has a clearly smaller loss; the rounds that training takes stop before that."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 5)).astype(np.float32)
+    y = np.where(x @ rng.normal(size=5) + 0.5 * rng.normal(size=200) > 0.3, 1.0, -1.0)
+    wide = np.hstack([x, np.ones((200, 1))])
+
+    def loss(w, c=8.0):
+        return 0.5 * w @ w + c * (np.maximum(0, 1 - y * (wide @ w)) ** 2).sum()
+
+    w = np.zeros(6)
+    for _ in range(20_000):
+        gap = np.maximum(0, 1 - y * (wide @ w))
+        w -= 2e-4 * (w - 16.0 * (gap * y) @ wide)
+    assert loss(language_id.svm(x, y, epochs=2000)) <= 1.01 * loss(w)
+    assert (np.sign(wide @ language_id.svm(x, y)) == y).mean() >= (np.sign(wide @ w) == y).mean() - 0.05
+
+
+def test_shallow_trees_take_the_best_cut():
+    rng = np.random.default_rng(9)
+    gain = lambda g, h: g * g / (h + 1)
+    for _ in range(50):
+        g, h = rng.normal(size=7), rng.random(7) + 0.1
+        cuts = [(gain(g[:k].sum(), h[:k].sum()) + gain(g[k:].sum(), h[k:].sum()), k) for k in range(1, 7)]
+        best, k = max(cuts)
+        want = np.concatenate([np.full(k, g[:k].sum() / (h[:k].sum() + 1)), np.full(7 - k, g[k:].sum() / (h[k:].sum() + 1))])
+        if best <= gain(g.sum(), h.sum()) + 1e-9:
+            want = np.full(7, g.sum() / (h.sum() + 1))
+        assert np.allclose(quality._shallow(g, h, 1), want)
+        g, h = rng.normal(size=(4, 5)), rng.random((4, 5)) + 0.1
+        parts = lambda v, i, j: [v[:i, :j].sum(), v[:i, j:].sum(), v[i:, :j].sum(), v[i:, j:].sum()]
+        best, i, j = max((sum(map(gain, parts(g, i, j), parts(h, i, j))), i, j) for i in range(1, 4) for j in range(1, 5))
+        got, value = quality._quadrants(g, h)
+        assert abs(got - best) < 1e-9 and np.allclose([value[0, 0], value[0, -1], value[-1, 0], value[-1, -1]], [a / (b + 1) for a, b in zip(parts(g, i, j), parts(h, i, j))])
+    x = rng.random((500, 3))
+    model = quality.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float), rounds=9)
+    for row, got in zip(x[:50], model.margin(x[:50])):
+        b = [sum(v >= c for c in cuts) for v, cuts in zip(row, model.cuts)]
+        assert abs(got - (model.base + sum(t[k] for t, k in zip(model.tables, b)) + sum(t[b[i], b[j]] for (i, j), t in zip(model.pairs, model.pair_tables)))) < 1e-9
+
+
+def test_sketch_holds_the_least_of_each_cell():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 40, 900):
+        hashes = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        least = {}
+        for h in hashes.tolist():
+            c = (h >> 40) % 128
+            least[c] = min(h, least.get(c, h))
+        want = []
+        for c in range(128):
+            k = next(k for k in range(128) if (c + k) % 128 in least)
+            source = (c + k) % 128
+            far = (c - source) % 128
+            want.append(int(shingles_of.mix(np.array([least[source] + far], np.uint64))[0]) & 0xFFFF)
+        assert fingerprints.sketch(hashes).tolist() == want
+    a, b = (fingerprints.sketch(np.array(v, np.uint64)) for v in ([1 << 41, 5 << 45], [1 << 41, 7 << 45]))
+    assert fingerprints.likeness(a, b) == sum(x == y for x, y in zip(a.tolist(), b.tolist())) / 128
+
+
+def test_long_lists_of_spans(spark):
+    """A text with tens of thousands of matches costs no square of them."""
+    text = " ".join(f"token={i:06d} {'0a' * 12}" for i in range(20_000))
+    got = secret_scan.secret_report(spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")).first()
+    assert (got.n_assign, got.n_hex) == (20_000, 20_000) and got.base_sha256 == hashlib.sha256(base_spans(text).encode()).hexdigest()
+
+
+def test_a_cluster_must_name_its_shared_folder(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: {})
+        getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        common.shared_folder(type("Session", (), {"sparkContext": Context}))
+
+
+def test_repeated_ids_teach_once(spark):
+    """However often an id is repeated, one row of it is gathered."""
+    rows = [(1, f"text {i}", "en") for i in range(500)] + [(i, "der die das " * i, "de") for i in range(2, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = {}
+    keep = language_id.fit
+    language_id.fit = lambda x, languages: (seen.update(n=len(x)), keep(x, languages))[1]
+    try:
+        language_id.train(df)
+    finally:
+        language_id.fit = keep
+    assert seen["n"] == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(1, 30))
+
+
 def test_quality(spark, odd, none):
     folder = "/root/testdata/sf0.01"
     big, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
@@ -532,6 +660,24 @@ def test_pipeline(spark, data, odd):
             assert sorted(r.doc_id for r in after) == sorted(i for i, (_, c) in classes.items() if i == c)
         if name == "quality classifier":
             assert 0.7 * len(before) < len(after) < len(before)
+            model = quality.train(seen, spark.read.parquet(f"{data}/labels.parquet"))
+            raw = [(r.text or "").encode() for r in before]
+            score = [model.score(quality.features(np.frombuffer(t, np.uint8), np.array([0, len(t)])))[0] for t in raw]
+            assert sorted(r.doc_id for r in after) == sorted(r.doc_id for r, v in zip(before, score) if v >= 0.5)
+        if name == "mixing sources":
+            size = Counter(r.source for r in before)
+            want = Counter()
+            for r in before:
+                mean = len(before) / len(size) / size[r.source]
+                u = int(hashlib.md5(f"0|{r.doc_id}|0".encode()).hexdigest()[:13], 16) / (1 << 52)
+                k, chance = 0, math.exp(-mean)
+                total = chance
+                while total <= u:
+                    k += 1
+                    chance *= mean / k
+                    total += chance
+                want[r.doc_id] += k
+            assert Counter(r.doc_id for r in after) == +want
         seen = spark.createDataFrame(after, out.schema)
     total = lambda df: df.groupBy("doc_id").agg(F.sum("length").alias("n")).orderBy("doc_id").collect()  # noqa: E731  where pieces are cut follows the partitions
     assert set(seen.columns) >= {"doc_id", "sequence_id", "ids"} and total(corpus_pipeline.run(spark, data)) == total(seen)
