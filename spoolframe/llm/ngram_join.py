@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -398,15 +397,47 @@ def _id_filter(ids: DataFrame) -> bytes:
 
 
 def _tree_links(dealt: DataFrame, num: int, den: int) -> DataFrame:
-    """Links ``(a, b)`` in each group ``(block, i, j)`` of sets ``(rep, tokens, label, asked)``, by a prefix tree a group."""
+    """Links ``(a, b)`` in each group ``(block, i, j)`` of sets ``(rep, tokens, label, asked)``, by a prefix tree a group.
 
-    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["asked", "rep"]).drop_duplicates(["rep", "asked"])
-        ids, asked = pdf["rep"].to_numpy(), pdf["asked"].tolist()
-        found = links_within([np.frombuffer(x, np.uint64) for x in pdf["tokens"]], num, den, pdf["label"].tolist(), asked)
-        return pd.DataFrame({"a": [int(ids[a]) for a, _ in found], "b": [int(ids[b]) for _, b in found]}, columns=["a", "b"]).astype("int64")
+    Groups follow one another in a partition, so a task holds one at a time, and
+    the many blocks of two or three sets cost no more than their sets.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, shown = None, [], None
+        a: list[int] = []
+        b: list[int] = []
+
+        def join() -> None:
+            members = [np.frombuffer(x[1], np.uint64) for x in held]
+            for x, y in links_within(members, num, den, [x[2] for x in held], [x[3] for x in held]):
+                if held[x][0] != held[y][0]:
+                    a.append(held[x][0])
+                    b.append(held[y][0])
+
+        def out() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            a.clear()
+            b.clear()
+            return rows
+
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                for block, i, j, rep, tokens, label, asked in zip(*(c.to_pylist() for c in batch.slice(at, 1000).columns)):
+                    if (block, i, j) != group:
+                        join()
+                        group, held, shown = (block, i, j), [], None
+                    if (rep, asked) != shown:  # a repeated id may have brought a set twice
+                        held.append((rep, tokens, label, asked))
+                        shown = (rep, asked)
+            if len(a) > 10_000:
+                yield out()
+        join()
+        yield out()
 
-    return dealt.select("block", "i", "j", "rep", "tokens", "label", "asked").groupBy("block", "i", "j").applyInPandas(tree, "a long, b long")
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ready = dealt.select("block", "i", "j", "rep", "tokens", "label", "asked").repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j", "asked", "rep")
+    return ready.mapInArrow(run, "a long, b long")
 
 
 def _chunk(chunks: str) -> F.Column:
