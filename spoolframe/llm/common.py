@@ -102,7 +102,8 @@ def join_counted(rows: DataFrame, counts: DataFrame, on: list[str], size: str, s
     turn = F.when(F.col(f"hot_{size}").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 30)))
     others = cold.select(*(F.col(c).alias(f"cold_{c}") for c in counts.columns), F.lit(0).cast("long").alias("cold_turn"))
     met = met.withColumn("turn", turn.cast("long"))
-    met = met.join(others, [*same("", "cold_"), F.col("turn") == F.col("cold_turn")], "left")
+    # Never broadcast, however few: the plan is the same at every size.
+    met = met.join(others.hint("merge"), [*same("", "cold_"), F.col("turn") == F.col("cold_turn")], "left")
     return met.select(*rows.columns, *(F.coalesce(f"hot_{c}", f"cold_{c}").alias(c) for c in names))
 
 

@@ -455,10 +455,15 @@ def _block_links(kept: DataFrame, block: DataFrame, num: int, den: int) -> DataF
     near copies is one class by then, and its work grows with its size, not with
     the square; only a block of many classes costs pairs of chunks.
     """
-    placed = kept.join(block, kept.rep == block.node).select("rep", "n", "tokens", F.col("component").alias("block"))
-    load = placed.groupBy("block").agg(F.ceil(F.sum("n") / TREE_SHINGLES).cast("int").alias("chunks"))
-    dealt = placed.join(load, "block").withColumn("i", _chunk("chunks")).withColumns({"j": F.col("i"), "label": F.col("rep"), "asked": F.lit(True)})
-    found = [Written(_tree_links(dealt, num, den), "links")]
+    sized = kept.select("rep", "n").join(block, F.col("rep") == F.col("node")).select("rep", "n", F.col("component").alias("block"))
+    placed = Written(sized, "placed")  # narrow: sets are dealt by these rows, and their shingles follow once
+    load = placed.df.groupBy("block").agg(F.ceil(F.sum("n") / TREE_SHINGLES).cast("int").alias("chunks"))
+    own = placed.df.join(load, "block").withColumn("i", _chunk("chunks")).withColumns({"j": F.col("i"), "label": F.col("rep"), "asked": F.lit(True)})
+
+    def linked(source: DataFrame, dealt: DataFrame) -> Written:
+        return Written(_tree_links(source.select("rep", "tokens").join(dealt.hint("merge"), "rep"), num, den), "links")
+
+    found = [linked(kept, own)]
 
     def classes() -> Written:
         links = found[0].df
@@ -467,17 +472,20 @@ def _block_links(kept: DataFrame, block: DataFrame, num: int, den: int) -> DataF
         return components(links)
 
     large = Written(load.where("chunks > 1").select("block"), "large")
-    split = Written(placed.join(large.df, "block"), "split") if not large.df.isEmpty() else None
+    wide = not large.df.isEmpty()
+    split = Written(placed.df.join(large.df, "block"), "split") if wide else None
+    source = Written(kept.join(split.df.select("rep").hint("merge"), "rep", "left_semi"), "tokens") if wide else None
     large.drop()
+    placed.drop()
     named = classes()
-    if split is not None:
+    if wide:
 
         def labelled() -> DataFrame:
-            return split.df.join(named.df.withColumnRenamed("component", "label"), F.col("rep") == F.col("node"), "left").select("rep", "n", "tokens", "block", F.coalesce("label", "rep").alias("label"))
+            return split.df.join(named.df.withColumnRenamed("component", "label"), F.col("rep") == F.col("node"), "left").select("rep", "n", "block", F.coalesce("label", "rep").alias("label"))
 
-        one = labelled().join(labelled().groupBy("block", "label").agg(F.min("rep").alias("first")), ["block", "label"]).where("rep = first").drop("first")
+        one = labelled().groupBy("block", "label").agg(F.min_by("n", "rep").alias("n"), F.min("rep").alias("rep"))
         fit = one.groupBy("block").agg(F.ceil(F.sum("n") / TREE_SHINGLES).cast("int").alias("chunks"))
-        found.append(Written(_tree_links(one.join(fit, "block").withColumn("i", _chunk("chunks")).withColumns({"j": F.col("i"), "asked": F.lit(True)}), num, den), "links"))
+        found.append(linked(source.df, one.join(fit, "block").withColumn("i", _chunk("chunks")).withColumns({"j": F.col("i"), "asked": F.lit(True)})))
         named.drop()
         named = classes()
         weight = labelled().groupBy("block", "label").agg(F.sum("n").alias("w"))
@@ -487,11 +495,11 @@ def _block_links(kept: DataFrame, block: DataFrame, num: int, den: int) -> DataF
         open_now = Written(labelled().join(plan, "block"), "open")
         asking = open_now.df.where("label <> main").withColumns({"i": _chunk("few"), "j": F.explode(F.sequence(F.lit(0), F.col("all") - 1)), "asked": F.lit(True)})
         others = open_now.df.withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("few") - 1)), "j": _chunk("all"), "asked": F.lit(False)})
-        found.append(Written(_tree_links(asking.unionByName(others), num, den), "links"))
+        found.append(linked(source.df, asking.unionByName(others)))
         named.drop()
         named = classes()
-        open_now.drop()
-        split.drop()
+        for table in (open_now, split, source):
+            table.drop()
     for links in found:
         links.drop()
     return named
@@ -542,7 +550,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10
 
     wanted = spark.sparkContext.broadcast(_id_filter(alive.df.select("id")))
     text = source.mapInArrow(_rescan("id", "text", width, wanted), "id long, d1 long, d2 long, tokens binary")
-    kept = Written(text.join(alive.df, ["id", "d1", "d2"]).where(F.octet_length("tokens") == 8 * F.col("n")).select("rep", "n", "tokens"), "tokens")
+    kept = Written(text.join(alive.df.hint("merge"), ["id", "d1", "d2"]).where(F.octet_length("tokens") == 8 * F.col("n")).select("rep", "n", "tokens"), "tokens")
     alive.drop()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -579,4 +587,4 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id
     """``docs`` without near copies: of each class the rows of its smallest id stay, and rows with a null id."""
     classes = jaccard_classes(docs, width, num, den, id_col, text_col)
     gone = classes.where(F.col(id_col) != F.col("component_id")).select(id_col)
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), id_col, "left_anti").select(*docs.columns)
