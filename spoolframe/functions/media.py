@@ -56,6 +56,17 @@ EVEN_SIDED_IMAGES = ["avif"]
 NOT_PAGES = ["comicinfo.xml", ".ds_store", "thumbs.db", "desktop.ini"]
 MP3_RATES = [8000, 11025, 12000, 16000, 22050, 24000, 32000, 44100, 48000]
 
+# The probe tool's container names by file extension; any other extension is its own name.
+CONTAINER_NAMES = {
+    "mov,mp4,m4a,3gp,3g2,mj2": ["mov", "mp4", "m4v", "m4a", "3gp", "3g2", "qt"],
+    "wav": ["wav", "wave"],
+    "aiff": ["aif", "aiff", "aifc"],
+    "caf": ["caf"],
+    "mp3": ["mp3"],
+    "aac": ["aac", "adts"],
+    "flac": ["flac"],
+}
+
 #: Loudness of silence in decibels.
 FLOOR_DB = -91.0
 
@@ -96,6 +107,17 @@ def extension(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"\.([^./]*)$", 1))
 
 
+def container_name(name: Column) -> Column:
+    """The probe tool's name of a file's container by its extension."""
+    ext = extension(name)
+    return F.when(ext == "", F.lit("unknown")).otherwise(F.coalesce(lookup(CONTAINER_NAMES, ext), ext))
+
+
+def can_animate(fmt: Column, system: Column, built_in: list[str]) -> Column:
+    """Whether animations of a format can be written: it has frame times, and the system or an own writer makes them."""
+    return fmt.isin("gif", "png", "webp", "heics") & (F.array_contains(system, fmt) | fmt.isin(built_in))
+
+
 def image_format(ext: Column) -> Column:
     """The picture format of a file extension, or null."""
     return lookup(IMAGE_EXTENSIONS, F.lower(F.ltrim(ext, F.lit("."))))

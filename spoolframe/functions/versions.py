@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -142,15 +144,14 @@ _TOKEN = re.compile(r"\s*(?:(\()|(\))|('[^']*'|\"[^\"]*\")|(===|~=|==|!=|<=|>=|<
 _VERSIONED = {"python_version", "python_full_version", "implementation_version"}
 
 
-def marker_column(marker: str | None, environment: dict[str, Column]) -> Column:
-    """An environment marker, read here and turned into a boolean expression.
+def read_marker(marker: str | None, variable: Callable, compare: Callable, both: Callable, either: Callable, true, literal: Callable):
+    """Reads a marker and puts it together with the given parts, whatever they make: expressions or truth values.
 
-    ``environment`` names the columns that stand for its variables. A variable
-    that is not among them makes its comparison false. No marker is true; text
-    that is no marker raises ``ValueError``.
+    ``compare`` gets both sides, the operator, and whether a variable that holds a
+    version is among them. Text that is no marker raises ``ValueError``.
     """
     if not marker or not marker.strip():
-        return F.lit(True)
+        return true
     tokens, at = [], 0
     text = marker.strip()
     while at < len(text):
@@ -171,19 +172,19 @@ def marker_column(marker: str | None, environment: dict[str, Column]) -> Column:
         place += 1
         return tokens[place - 1]
 
-    def operand() -> tuple[Column | None, str | None]:
+    def operand():
         kind, word = take()
         if kind == 3:
-            return F.lit(word[1:-1]), None
+            return literal(word[1:-1]), None
         if kind == 6:
-            return environment.get(word), word
+            return variable(word), word
         raise ValueError(f"{word!r} is no value")
 
-    def comparison() -> Column:
+    def comparison():
         kind, _ = peek()
         if kind == 1:
             take()
-            inside = either()
+            inside = alternatives()
             if take()[0] != 2:
                 raise ValueError("a bracket is not closed")
             return inside
@@ -192,32 +193,142 @@ def marker_column(marker: str | None, environment: dict[str, Column]) -> Column:
         right, right_name = operand()
         if kind not in (4, 5):
             raise ValueError(f"{op!r} does not compare")
-        if left is None or right is None:
-            return F.lit(False)
-        op = re.sub(r"\s+", " ", op)
-        if op in ("in", "not in"):
-            inside = F.contains(right, left)
-            return ~inside if op == "not in" else inside
-        if _VERSIONED & {left_name, right_name}:
-            return F.coalesce(satisfies(left, F.concat(F.lit(op), right)), F.lit(False))
-        plain = {"==": left == right, "===": left == right, "!=": left != right, "<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right}
-        return F.coalesce(plain.get(op, F.lit(False)), F.lit(False))
+        return compare(left, re.sub(r"\s+", " ", op), right, bool(_VERSIONED & {left_name, right_name}))
 
-    def both() -> Column:
+    def conjunction():
         out = comparison()
         while peek() == (5, "and"):
             take()
-            out = out & comparison()
+            out = both(out, comparison())
         return out
 
-    def either() -> Column:
-        out = both()
+    def alternatives():
+        out = conjunction()
         while peek() == (5, "or"):
             take()
-            out = out | both()
+            out = either(out, conjunction())
         return out
 
-    result = either()
+    result = alternatives()
     if place != len(tokens):
         raise ValueError(f"{tokens[place][1]!r} was not expected")
     return result
+
+
+def marker_column(marker: str | None, environment: dict[str, Column]) -> Column:
+    """An environment marker, read here and turned into a boolean expression.
+
+    ``environment`` names the columns that stand for its variables. A variable
+    that is not among them makes its comparison false. No marker is true; text
+    that is no marker raises ``ValueError``.
+    """
+
+    def compare(left: Column | None, op: str, right: Column | None, versioned: bool) -> Column:
+        if left is None or right is None:
+            return F.lit(False)
+        if op in ("in", "not in"):
+            inside = F.contains(right, left)
+            return ~inside if op == "not in" else inside
+        if versioned:
+            return F.coalesce(satisfies(left, F.concat(F.lit(op), right)), F.lit(False))
+        plain = {"==": left == right, "===": left == right, "!=": left != right, "<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right}
+        return F.coalesce(plain.get(op, F.lit(False)), F.lit(False))
+
+    return read_marker(marker, environment.get, compare, lambda a, b: a & b, lambda a, b: a | b, F.lit(True), F.lit)
+
+
+# The same rules on single values, for planners that follow one requirement after another.
+
+_GRAMMAR = re.compile(GRAMMAR)
+_STAGES = {"a": "a", "alpha": "a", "b": "b", "beta": "b"}
+
+
+@dataclass(frozen=True)
+class Version:
+    """A version that was read: its order with and without its local part, its epoch and its release."""
+
+    text: str
+    epoch: int
+    release: tuple[int, ...]
+    public: tuple
+    local: tuple
+    prerelease: bool
+
+    @classmethod
+    def read(cls, text: str | None) -> Version | None:
+        m = _GRAMMAR.match(text or "")
+        if not m:
+            return None
+        epoch, release, stage, number, dash, post, post_number, dev, dev_number, local = m.groups()
+        parts = tuple(int(x) for x in release.split("."))
+        short = parts
+        while len(short) > 1 and short[-1] == 0:
+            short = short[:-1]
+        after = int(dash) if dash else int(post_number or 0) if post else None
+        before = int(dev_number or 0) if dev else None
+        if stage:
+            place = (1, _STAGES.get(stage.lower(), "c"), int(number or 0))
+        else:
+            place = (0, "", 0) if after is None and before is not None else (2, "", 0)
+        public = (int(epoch or 0), short, place, -1 if after is None else after, float("inf") if before is None else before)
+        words = tuple((1, int(w), "") if w.isdigit() else (0, 0, w.lower()) for w in re.split("[-_.]", local)) if local else ()
+        return cls(text.strip(), int(epoch or 0), parts, public, words, bool(stage or dev))
+
+    @property
+    def key(self) -> tuple:
+        return (*self.public, self.local)
+
+
+def meets(version: Version, clause: str) -> bool:
+    """``satisfies`` of one read version."""
+    m = re.match(r"\s*(===|~=|==|!=|<=|>=|<|>)\s*(.*?)\s*$", clause)
+    if not m:
+        return False
+    op, text = m[1], m[2]
+    if op == "===":
+        return version.text == text
+    wild = text.endswith(".*")
+    target = Version.read(text.removesuffix(".*"))
+
+    def starts(prefix: tuple[int, ...], epoch: int) -> bool:
+        return version.epoch == epoch and (version.release + (0,) * len(prefix))[: len(prefix)] == prefix
+
+    if op in ("==", "!="):
+        if wild:
+            same = target is not None and starts(target.release, target.epoch)
+        elif target is None:
+            same = version.text == text
+        else:
+            same = version.key == target.key if target.local else version.public == target.public
+        return same == (op == "==")
+    if target is None or wild:
+        return False
+    if op == "~=":
+        return len(target.release) > 1 and version.key >= target.key and starts(target.release[:-1], 0)
+    return {"<": version.key < target.key, "<=": version.key <= target.key, ">": version.key > target.key, ">=": version.key >= target.key}[op]
+
+
+def read_requirement(text: str) -> tuple[str, list[str], list[str], str | None] | None:
+    """``requirement`` of one line: (name, extras, clauses, marker), or null for one with a direct reference."""
+    body, _, marker = text.partition(";")
+    m = re.match(r"\s*([A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)\s*(?:\[([^\]]*)\])?\s*(.*)$", body.strip())
+    if not m or "@" in body:
+        return None
+    listed = lambda s: [x.strip() for x in s.split(",") if x.strip()]
+    return re.sub("[-_.]+", "-", m[1].lower()), listed(m[2] or ""), listed(re.sub(r"[()]", "", m[3])), marker.strip() or None
+
+
+def marker_holds(marker: str | None, environment: dict[str, str]) -> bool:
+    """A marker in an environment of plain values."""
+
+    def compare(left: str | None, op: str, right: str | None, versioned: bool) -> bool:
+        if left is None or right is None:
+            return False
+        if op in ("in", "not in"):
+            return (left in right) == (op == "in")
+        if versioned:
+            known = Version.read(left)
+            return known is not None and meets(known, op + right)
+        return {"==": left == right, "===": left == right, "!=": left != right, "<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right}.get(op, False)
+
+    return read_marker(marker, environment.get, compare, lambda a, b: a and b, lambda a, b: a or b, True, lambda v: v)

@@ -154,3 +154,10 @@ def select_formats(rows: DataFrame, policy: Policy = Policy(), key: str = "listi
         F.when(F.col("pair"), F.col("v.bytes") + F.col("a.bytes")).otherwise(F.col("s.bytes")).alias("bytes"),
         F.when(~F.col("pair") & F.col("s").isNull(), F.col("missing")).alias("reason"),
     )
+
+
+def gallery(texts: DataFrame, key: str, json_col: str = "json") -> DataFrame:
+    """Gallery JSON as ``(key, category, subcategory, pos, url, filename, size)``, a row per file; text that is not JSON gives no row."""
+    parsed = texts.select(key, F.try_parse_json(json_col).alias("v")).where("v IS NOT NULL")
+    each = parsed.select(key, L.lenient_string(F.col("v"), "$.category").alias("category"), L.lenient_string(F.col("v"), "$.subcategory").alias("subcategory"), F.posexplode(F.expr("try_variant_get(v, '$.files', 'array<variant>')")).alias("pos", "f"))
+    return each.select(key, "category", "subcategory", "pos", L.lenient_string(F.col("f"), "$.url").alias("url"), L.lenient_string(F.col("f"), "$.filename").alias("filename"), L.lenient_long(F.col("f"), "$.size").alias("size"))

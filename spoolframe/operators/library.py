@@ -41,6 +41,17 @@ def writable_type(fmt: Column, probed: Column) -> Column:
     return F.try_element_at(F.filter(table[fmt], lambda i: F.array_contains(probed, i)), F.lit(1))
 
 
+def readable_formats(types: Column) -> Column:
+    """Formats that can be decoded: those of which a type identifier, in any case, is among the system's ``types``."""
+    found = F.transform(types, format_of_type)
+    return F.array_sort(F.array_distinct(F.filter(found, lambda f: f.isNotNull())))
+
+
+def digest_matches(content: Column, expected: Column) -> Column:
+    """Whether bytes have a SHA-256 given in hex, in any case."""
+    return F.sha2(content, 256) == F.lower(F.trim(expected))
+
+
 def canvas(frames: DataFrame, key: str, rule: str = "first", width: int | None = None, height: int | None = None) -> DataFrame:
     """``(key, width, height, reason)`` of an animation's canvas from frames ``(key, pos, width, height)``.
 

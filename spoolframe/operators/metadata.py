@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.media import sniff_artwork
 from ..functions.text import parse_date
 
 # Words that put an audio or video item in a class, in the order that they are asked.
@@ -120,6 +121,40 @@ def id3_record(frames: DataFrame, file: str = "file") -> DataFrame:
     return rows.groupBy(file).agg(*fields, creators.alias("creators"), part("TRCK", 1).alias("track"), part("TRCK", 2).alias("tracks"), part("TPOS", 1).alias("disc"), part("TPOS", 2).alias("discs"), (last("TCMP") != "0").alias("compilation"), date.alias("date"))
 
 
+#: Text frames that ``id3_record`` has fields for.
+KNOWN_FRAMES = [*FRAME_FIELDS, "TPE1", "TRCK", "TPOS", "TCMP", "TDRC", "TYER", "TDAT"]
+
+
+def id3_extras(frames: DataFrame, file: str = "file", long_key: str | None = None, id_prefix: str | None = None) -> DataFrame:
+    """What ``id3_record`` has no field for, one row per file of frames ``(file, pos, frame, description, text, picture, role)``.
+
+    ``comment``: the last without a description, else the first; ``long_description``:
+    the user field named ``long_key``; ``identifiers``: user fields whose name
+    starts with ``id_prefix``; ``custom``: the other user fields as ``TXXX:name``
+    and text frames without a field; ``artwork``: roles and bytes of JPEG and PNG
+    pictures in order. Of repeated names the last counts.
+    """
+    table = F.create_map(*(F.lit(x) for pair in OLD_FRAMES.items() for x in pair))
+    name = F.coalesce(table[F.col("frame")], F.col("frame"))
+    d = F.coalesce("description", F.lit(""))
+    user, comment = name.isin("TXXX", "TXX"), name.isin("COMM", "COM")
+    long = user & (d == long_key) if long_key else F.lit(False)
+    known_id = user & d.startswith(id_prefix) if id_prefix else F.lit(False)
+    own = F.when(long | known_id, F.lit(None).cast("string")).when(user, F.concat(F.lit("TXXX:"), d)).when(name.startswith("T") & ~name.isin(KNOWN_FRAMES) & (F.coalesce("text", F.lit("")) != ""), name)
+    art = F.when(name.isin("APIC", "PIC") & sniff_artwork(F.col("picture")).isNotNull(), F.struct("pos", "role", F.octet_length("picture").alias("bytes"), "picture"))
+    pair = lambda key: F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.when(key.isNotNull(), F.struct(key.alias("k"), F.col("pos").alias("p"), F.col("text").alias("t"))))), lambda x: F.struct(x["k"], x["t"])))
+    rows = frames.select(file, "pos", "text", name.alias("name"), d.alias("description"), own.alias("own"), comment.alias("is_comment"), long.alias("is_long"), F.when(known_id, F.substring(d, len(id_prefix or "") + 1, 1 << 30)).alias("id"), art.alias("art"))
+    # Of repeated names the last: names are first brought to one row each.
+    last = lambda c: rows.where(F.col(c).isNotNull()).groupBy(file, c).agg(F.max("pos").alias("pos"), F.max_by("text", "pos").alias("text")).groupBy(file).agg(pair(F.col(c)).alias("m"))
+    base = rows.groupBy(file).agg(
+        F.coalesce(F.max_by("text", F.when(F.col("is_comment") & (F.col("description") == ""), F.col("pos"))), F.min_by("text", F.when(F.col("is_comment"), F.col("pos")))).alias("comment"),
+        F.max_by("text", F.when(F.col("is_long"), F.col("pos"))).alias("long_description"), F.transform(F.array_sort(F.collect_list(F.struct(F.col("art.pos").alias("pos"), F.col("art").alias("art")))), lambda x: x["art"]).alias("arts"),
+    )
+    out = base.join(last("own").withColumnRenamed("m", "custom"), file, "left").join(last("id").withColumnRenamed("m", "identifiers"), file, "left")
+    pictures = F.transform(F.filter("arts", lambda a: a.isNotNull()), lambda a: F.struct(a["role"].alias("role"), a["bytes"].alias("bytes"), a["picture"].alias("picture")))
+    return out.select(file, "comment", "long_description", "custom", "identifiers", pictures.alias("artwork"))
+
+
 def media_kind(code: Column) -> Column:
     """The name of a media kind's number, or null."""
     return F.create_map(*(F.lit(x) for pair in MEDIA_KINDS.items() for x in pair))[code]

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import containers, records, relations, rules, selection
+from . import containers, details, records, recordings, relations, rules, selection
 
-MODULES = [selection, rules, relations, containers, records]
+MODULES = [selection, rules, relations, containers, records, recordings, details]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -280,8 +280,45 @@ def _syncsafe(b: bytes) -> int:
     return b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
 
 
+# What a picture is for by its type; any other is a thumbnail.
+PICTURE_ROLES = {3: "cover", 8: "poster", 11: "banner", 18: "poster"}
+_ID3_CODES = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}
+
+
+def _cut(code: int, data: bytes) -> tuple[str, bytes]:
+    """A text up to its end mark, and what follows."""
+    wide, at = code in (1, 2), 0
+    while wide and at + 1 < len(data) and data[at : at + 2] != b"\0\0":
+        at += 2
+    if not wide:
+        at = data.find(b"\0")
+        at = len(data) if at < 0 else at
+    return data[:at].decode(_ID3_CODES.get(code, "latin-1"), "replace"), data[at + 1 + wide :]
+
+
+def _frame(name: bytes, payload: bytes) -> dict:
+    """Text, description, picture and its role of a frame, as far as its kind has them."""
+    row = {"text": None, "description": None, "language": None, "picture": None, "role": None}
+    code, rest = payload[0] if payload else 0, payload[1:]
+    decode = lambda b: b.decode(_ID3_CODES.get(code, "latin-1"), "replace").rstrip("\0")
+    if name in (b"TXXX", b"TXX"):
+        row["description"], rest = _cut(code, rest)
+        row["text"] = decode(rest)
+    elif name[:1] == b"T" and payload:
+        row["text"] = decode(rest)
+    elif name in (b"COMM", b"COM", b"USLT", b"ULT") and len(payload) >= 4:
+        row["language"] = rest[:3].decode("latin-1")
+        row["description"], rest = _cut(code, rest[3:])
+        row["text"] = decode(rest)
+    elif name == b"APIC" or name == b"PIC" and len(payload) > 5:
+        rest = _cut(0, rest)[1] if name == b"APIC" else rest[3:]
+        row["role"] = PICTURE_ROLES.get(rest[0], "thumbnail") if rest else None
+        row["description"], row["picture"] = _cut(code, rest[1:])
+    return row
+
+
 def id3_frames(data: bytes) -> list[dict]:
-    """Frames of an ID3 tag of version 2.2, 2.3 or 2.4; text frames decoded."""
+    """Frames of an ID3 tag of version 2.2, 2.3 or 2.4; texts, comments, fields of their own and pictures decoded."""
     _need(data[:3] == b"ID3" and len(data) >= 10, "no ID3 tag")
     version, flags = data[3], data[5]
     _need(version in (2, 3, 4), f"version 2.{version} is not read")
@@ -304,11 +341,7 @@ def id3_frames(data: bytes) -> list[dict]:
         _need(len(payload) == size, f"frame {name.decode('latin-1')} runs past the tag")
         if version == 4 and (bits & 0x02 or flags & 0x80):
             payload = _unsync(payload)
-        text = None
-        if name[:1] == b"T" and payload:
-            code = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(payload[0], "latin-1")
-            text = payload[1:].decode(code, "replace").rstrip("\0")
-        out.append({"pos": len(out), "frame": name.decode("latin-1"), "size": size, "text": text, "payload": payload})
+        out.append({"pos": len(out), "frame": name.decode("latin-1"), "size": size, **_frame(name, payload), "payload": payload})
         at += head + size
     return out
 
@@ -576,13 +609,19 @@ def package_metadata(data: bytes) -> list[dict]:
     return out
 
 
+def movie_lengths(data: bytes) -> list[dict]:
+    """One row: the seconds that the movie header declares, null without one."""
+    return [{"seconds": movie_seconds(data)}]
+
+
 #: Parser name -> (function, columns of a row).
 PARSERS = {
+    "movie_lengths": (movie_lengths, "seconds double"),
     "zip_entries": (zip_entries, "pos int, name string, is_dir boolean, method int, encrypted boolean, crc32 long, compressed long, size long, external_attrs long, offset long"),
     "wav_info": (wav_info, "codec string, channels int, rate int, bits int, seconds double"),
     "image_info": (image_info, "format string, width int, height int, frames int, delays array<double>, loops int"),
     "iso_boxes": (iso_boxes, "pos int, type string, offset long, size long, depth int, path string, whole boolean"),
-    "id3_frames": (id3_frames, "pos int, frame string, size int, text string, payload binary"),
+    "id3_frames": (id3_frames, "pos int, frame string, size int, text string, description string, language string, picture binary, role string, payload binary"),
     "swf_header": (swf_header, "compression string, version int, width_twips int, height_twips int, fps double, frames int"),
     "swf_tags": (swf_tags, "pos int, code int, length long, depth int, sprite_path array<int>, offset long"),
     "subtitle_cues": (subtitle_cues, "pos int, start double, end double, text string, runs array<struct<lo:int,hi:int,style:int>>"),

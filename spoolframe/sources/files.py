@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions import media as M
-from .containers import PARSERS, BadFile
+from . import containers, documents, movies
+from .containers import BadFile
+
+#: Parser name -> (function, columns of a row).
+PARSERS = {**containers.PARSERS, **movies.PARSERS, **documents.PARSERS}
 
 #: Bytes that a file may have at most to be read; one value of a column holds no more.
 MOST_BYTES = (1 << 31) - 1
@@ -106,15 +111,75 @@ def register_table_functions(spark: SparkSession) -> None:
         spark.udtf.register(name, udtf(Parse, returnType=f"{columns}, error string"))
 
 
+def table_function_names() -> list[str]:
+    """Names under which ``register_table_functions`` makes the parsers known."""
+    return sorted(PARSERS)
+
+
+def waves(rows: DataFrame, pcm: str, rate: str, channels: str, bits: str, out: str = "wave") -> DataFrame:
+    """Rows with their samples as wave files; null where a value is missing or no layout fits."""
+
+    @F.pandas_udf("binary")
+    def made(samples: pd.Series, rates: pd.Series, counts: pd.Series, widths: pd.Series) -> pd.Series:
+        fine = lambda *v: all(x is not None and x == x for x in v) and min(v[1:]) > 0
+        return pd.Series([containers.wav_write(bytes(v[0]), *(int(x) for x in v[1:])) if fine(*v) else None for v in zip(samples, rates, counts, widths)], dtype=object)
+
+    return rows.withColumn(out, made(pcm, rate, channels, bits))
+
+
+def tagged(rows: DataFrame, content: str, items: str, out: str = "tagged") -> DataFrame:
+    """ISO media files with the values of ``items`` (array of struct(key, value)) in place of their item list.
+
+    ``out`` is struct(content, error); media bytes stay as they are. Files that
+    cannot be edited, null ones among them, have their reason.
+    """
+
+    @F.pandas_udf("content binary, error string")
+    def made(files: pd.Series, lists: pd.Series) -> pd.DataFrame:
+        out = []
+        for data, pairs in zip(files, lists):
+            try:
+                if data is None:
+                    raise BadFile("no bytes")
+                out.append((movies.with_items(data, [(p["key"], p["value"]) for p in (() if pairs is None else pairs)]), None))
+            except UNREADABLE as e:
+                out.append((None, reason(e)))
+        return pd.DataFrame(out, columns=["content", "error"])
+
+    return rows.withColumn(out, made(content, items))
+
+
+def _one_file(rows: DataFrame, key: str, order: str, columns: list[str], make: Callable[[pd.DataFrame], bytes]) -> DataFrame:
+    """``(key, content, error)``: a file of each key's rows in order. A file is one value, so it is made in one task."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        try:
+            content, error = make(group.sort_values(order, kind="stable")), None
+        except UNREADABLE as e:
+            content, error = None, reason(e)
+        return pd.DataFrame({key: [group[key].iloc[0]], "content": [content], "error": [error]})
+
+    kept = rows.select(key, order, *columns)
+    return kept.groupBy(key).applyInPandas(run, f"{key} {kept.schema[key].dataType.simpleString()}, content binary, error string")
+
+
+def pdf_books(pages: DataFrame, key: str, order: str, content: str) -> DataFrame:
+    """``(key, content, error)``: each key's pictures in order as the pages of a PDF."""
+    return _one_file(pages, key, order, [content], lambda g: documents.pdf_write([bytes(x) for x in g[content]]))
+
+
+def animations(frames: DataFrame, key: str, order: str, rgba: str, width: str, height: str, delay: str, kind: str = "apng", loops: int = 0) -> DataFrame:
+    """``(key, content, error)``: each key's RGBA frames of one size in order as an animated PNG or GIF."""
+    write = {"apng": documents.apng_write, "gif": documents.gif_write}[kind]
+    return _one_file(frames, key, order, [rgba, width, height, delay], lambda g: write([bytes(x) for x in g[rgba]], int(g[width].iloc[0]), int(g[height].iloc[0]), [float(x) for x in g[delay]], loops))
+
+
 def book(pages: DataFrame, key: str, order: str, name: str, content: str) -> DataFrame:
     """``(key, content)``: each key's pages as one stored ZIP in order. A book is one file, so it is made in one task."""
-    import pandas as pd
-
-    from .containers import zip_write
 
     def make(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(order)
-        return pd.DataFrame({key: [group[key].iloc[0]], content: [zip_write(list(zip(group[name], group[content])))]})
+        return pd.DataFrame({key: [group[key].iloc[0]], content: [containers.zip_write(list(zip(group[name], group[content])))]})
 
     kept = pages.select(key, order, name, content)
     return kept.groupBy(key).applyInPandas(make, f"{key} {kept.schema[key].dataType.simpleString()}, {content} binary")
