@@ -118,6 +118,12 @@ def file_title(path: Column) -> Column:
     return parse_title(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", ""))
 
 
+def with_file_title(rows: DataFrame, path: str, out: str = "parsed") -> DataFrame:
+    """``file_title`` in steps, as ``with_title`` does it."""
+    base = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+    return with_title(rows.withColumn("base__", base), "base__", out).drop("base__")
+
+
 def release_key(name: Column) -> Column:
     """Letters, marks and digits only, lower case: what release names are compared by."""
     return F.regexp_replace(F.lower(name), r"[^\p{L}\p{M}\p{N}]", "")

@@ -75,7 +75,7 @@ def title_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as file paths with a year, and the title that would be searched for."""
     p = _parts(spark, sf_dir)
     path = F.concat(F.lit("films/old/"), F.replace("p_name", F.lit(" "), F.lit(".")), F.lit("."), (1950 + F.col("p_partkey") % 70).cast("string"), F.lit(".1080p.mkv"))
-    got = p.select("p_partkey", "p_name", T.file_title(path).alias("t"))
+    got = T.with_file_title(p.select("p_partkey", path.alias("path")), "path", "t")
     return got.select("p_partkey", F.col("t.title").alias("title"), F.col("t.year").alias("year"))
 
 
