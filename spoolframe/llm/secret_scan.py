@@ -86,7 +86,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = Written(scanned, "secrets").df
 
     valued = F.transform("base", lambda x: F.struct((F.when(x["kind"] == "assign", x["stop"] - F.length(x["value"])).otherwise(x["start"])).alias("start"), F.lit(3).alias("rank"), x["stop"].alias("stop"), F.lit("live").alias("kind"), x["value"].alias("value")))
-    candidates = rows.where("size(base) > 0 OR size(bare) > 0").select("row", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.col("row").cast("string")).alias("repository"), F.explode(F.array_distinct(F.concat(valued.cast(_TYPE), "bare"))).alias("span"))
+    candidates = rows.where("size(base) > 0 OR size(bare) > 0").select("row", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.col("row").cast("string")).alias("repository"), F.explode(F.concat(valued.cast(_TYPE), "bare")).alias("span"))
     candidates = candidates.withColumn("hash", F.sha2("span.value", 256))
     kept_by = candidates.groupBy("hash", "owner", "repository").agg(F.count("*").alias("uses")).groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
     held = kept_by.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
