@@ -41,18 +41,29 @@ def new_path(spark: SparkSession, name: str) -> str:
 _standing: list[Written] = []
 
 
+#: Whether Spark drops the shuffle files of a query when it ends.
+_CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Written:
     """A table written to the shared folder and read back.
 
     It cuts lineage, survives lost executors, and keeps column pruning, which an
-    RDD checkpoint does not. Operators drop what their result does not read;
-    ``scratch`` drops the rest once a result has been written.
+    RDD checkpoint does not. The shuffles that its write made go with the write,
+    as else they stay until the driver happens to collect its garbage. Operators
+    drop what their result does not read; ``scratch`` drops the rest once a
+    result has been written.
     """
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = new_path(self.spark, name)
-        df.write.parquet(self.path)
+        before = self.spark.conf.get(_CLEAN_SHUFFLES, "false")
+        self.spark.conf.set(_CLEAN_SHUFFLES, "true")
+        try:
+            df.write.parquet(self.path)
+        finally:
+            self.spark.conf.set(_CLEAN_SHUFFLES, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         _standing.append(self)
 

@@ -16,6 +16,8 @@ from .shingles import mix, sets
 FILTER_BITS = 1 << 23
 #: Shingles that one prefix tree holds, about; larger blocks are dealt into chunks.
 TREE_SHINGLES = 500_000
+#: Sets, and shingles of sets, whose sketches are dealt as one chunk, about.
+CHUNK_SETS, CHUNK_SHINGLES = 8192, 1 << 23
 _SALT = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA5A3564E3C6F1B27, 0xC2B2AE3D27D4EB4F)]
 
 
@@ -206,6 +208,55 @@ def links_within(members: list[np.ndarray], num: int, den: int, classes: list[in
     return found
 
 
+def sketch(x: np.ndarray) -> bytes:
+    """For each of at least ``len(x)`` cells, a power of two, whether an odd number of the set's shingles is in it.
+
+    Each shingle that only one of two sets has changes one cell, so sketches
+    differ in no more cells than the sets in shingles. Half as many cells are the
+    exclusive or of both halves.
+    """
+    cells = max(64, 1 << (len(x) - 1).bit_length())
+    odd = np.bincount((mix(x ^ _SALT[1]) % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def near_sets(sizes: list[int], sketches: list[bytes], sides: list[int], num: int, den: int) -> list[tuple[int, int]]:
+    """Index pairs that span the classes of sets whose sizes and sketches let them link; with two sides only pairs of both.
+
+    Every linked pair is in one class. A row is compared with all smaller ones at
+    once, from the least size that can link with it on.
+    """
+    order = np.argsort(sizes, kind="stable")
+    n, side = np.array(sizes, np.int64)[order], np.array(sides)[order]
+    rows = [np.frombuffer(sketches[i], "<u8") for i in order.tolist()]
+    width, across = np.array([len(x) for x in rows]), len(set(sides)) > 1
+    tables = {}
+    for w, s in set(zip(width.tolist(), side.tolist())):
+        at = np.flatnonzero((width == w) & (side == s))
+        tables[w, s] = at, n[at], np.stack([rows[i] for i in at.tolist()])
+    name, found = np.arange(len(rows)), []
+    for i, x in enumerate(rows):
+        least, hits = -(-int(n[i]) * num // den), []
+        while True:
+            table = tables.get((len(x), 1 - int(side[i]) if across else int(side[i])))
+            if table is not None:
+                at, size, cells = table
+                a, z = np.searchsorted(size, least), np.searchsorted(at, i)
+                both = size[a:z] + n[i]
+                differ = np.bitwise_count(cells[a:z] ^ x).sum(axis=1, dtype=np.int64)
+                hits.append(at[a:z][differ <= both - 2 * -(-both * num // (num + den))])
+            if len(x) == 1:
+                break
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        hit = np.concatenate(hits) if hits else np.zeros(0, np.int64)
+        names, first = np.unique(name[hit], return_index=True)
+        for other, y in zip(names.tolist(), hit[first].tolist()):
+            if other != name[i]:
+                found.append((int(order[i]), int(order[y])))
+                name[name == other] = name[i]
+    return found
+
+
 def _scan(id_col: str, text_col: str, width: int):
     """Per document: id, size and digests of its set."""
 
@@ -444,19 +495,91 @@ def _chunk(chunks: str) -> F.Column:
     return F.pmod(F.xxhash64("rep"), F.col(chunks)).cast("int")
 
 
+def _near_links(dealt: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs ``(a, b)`` that span what may link in each group ``(block, class, up, i, j)`` of ``(rep, n, sketch, side)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+
+        def join() -> pa.RecordBatch:
+            pairs = near_sets([x[1] for x in held], [x[2] for x in held], [x[3] for x in held], num, den) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([held[p[k]][0] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for *key, rep, n, cells, side in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != group:
+                    yield join()
+                    group, held = key, []
+                if not held or held[-1][0] != rep:  # a repeated id may have brought a set twice
+                    held.append((rep, n, cells, side))
+        yield join()
+
+    parts, key = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), ("block", "class", "up", "i", "j")
+    return dealt.select(*key, "rep", "n", "sketch", "side").repartition(parts, *key).sortWithinPartitions(*key, "rep").mapInArrow(run, "a long, b long")
+
+
+def _finer(kept: DataFrame, placed: Written, num: int, den: int) -> Written:
+    """``placed(rep, n, block)`` with the blocks beyond ``TREE_SHINGLES`` cut into what sizes and sketches let link.
+
+    Common passages make signatures meet, and in a large corpus they chain sets
+    into blocks of many classes, whose pairs of chunks would cost the square in
+    shingles. Sketches are a bit or two a shingle, and they let hardly more link
+    than do. Linked sets are in one size class or two neighbours, so chunks of
+    these meet; a set that may link with none is done.
+    """
+    large = Written(placed.df.groupBy("block").agg(F.sum("n").alias("w")).where(F.col("w") > TREE_SHINGLES).select("block"), "large")
+    if large.df.isEmpty():
+        large.drop()
+        return placed
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.column(1)
+            classes = pa.array([_size_class(x, num, den)[0] for x in n.to_pylist()], pa.int32())
+            drawn = pa.array([sketch(np.frombuffer(x.as_buffer(), np.uint64)) for x in b.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), n, classes, drawn], names=["rep", "n", "class", "sketch"])
+
+    inside = placed.df.join(large.df, "block").select("rep", "block").distinct()
+    drawn = kept.select("rep", "n", "tokens").mapInArrow(draw, "rep long, n long, class int, sketch binary")
+    sketched = Written(drawn.join(inside.hint("merge"), "rep"), "sketches")
+    held = sketched.df.groupBy("block", "class").agg(F.count("*").alias("sets"), F.sum("n").alias("w"))
+    held = held.select("block", "class", "sets", F.ceil(F.greatest(F.col("sets") / CHUNK_SETS, F.col("w") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    beside = lambda by, name: held.select("block", (F.col("class") + by).alias("class"), F.col("chunks").alias(name))
+    load = held.join(beside(-1, "above"), ["block", "class"], "left").join(beside(1, "below"), ["block", "class"], "left")
+    load = Written(load.fillna(0, ["above", "below"]), "loads")
+    met = join_counted(sketched.df, load.df, ["block", "class"], "sets", "rep").withColumn("own", _chunk("chunks"))
+    # Chunk i of a class meets the chunks j of that class from i on (up 0) and all of the class above (up 1).
+    upto = lambda most, place: f"transform(filter(sequence(0, {most}), x -> x < {most}), x -> {place})"
+    place = "named_struct('class', {}, 'up', {}, 'i', {}, 'j', {}, 'side', {})".format
+    same = upto("chunks", place("class", 0, "least(x, own)", "greatest(x, own)", "if(x < own, 1, 0)"))
+    above, below = upto("above", place("class", 1, "own", "x", 0)), upto("below", place("class - 1", 1, "x", "own", 1))
+    dealt = met.select("block", "rep", "n", "sketch", F.explode(F.expr(f"concat({same}, {above}, {below})")).alias("to")).select("block", "rep", "n", "sketch", "to.*")
+    links = Written(_near_links(dealt, num, den), "near")
+    for table in (sketched, load):
+        table.drop()
+    named = components(links.df)
+    apart = placed.df.select("rep", "n").join(named.df, F.col("rep") == F.col("node")).select("rep", "n", F.col("component").alias("block"))
+    finer = Written(placed.df.join(large.df, "block", "left_anti").select("rep", "n", "block").unionAll(apart), "placed")
+    for table in (links, named, large, placed):
+        table.drop()
+    return finer
+
+
 def _block_links(kept: DataFrame, block: DataFrame, num: int, den: int) -> DataFrame:
     """Classes ``(node, component)`` of sets ``(rep, n, tokens)`` that share a block.
 
-    A block of up to ``TREE_SHINGLES`` is one tree. A larger one is dealt into
-    chunks. First each chunk is joined by itself, then one set of each class so
+    A block of up to ``TREE_SHINGLES`` is one tree. A larger one is cut by
+    sketches (see ``_finer``), and what is larger still is dealt into chunks.
+    First each chunk is joined by itself, then one set of each class so
     found is joined with the block's others. If that leaves more than one class,
     links across chunks may be open, but none inside a class; so the sets outside
     of the block's largest class, dealt into chunks, meet every chunk. A group of
     near copies is one class by then, and its work grows with its size, not with
-    the square; only a block of many classes costs pairs of chunks.
+    the square; only many classes that sketches cannot tell apart cost pairs of
+    chunks.
     """
     sized = kept.select("rep", "n").join(block, F.col("rep") == F.col("node")).select("rep", "n", F.col("component").alias("block"))
-    placed = Written(sized, "placed")  # narrow: sets are dealt by these rows, and their shingles follow once
+    placed = _finer(kept, Written(sized, "placed"), num, den)  # narrow: sets are dealt by these rows, and their shingles follow once
     load = placed.df.groupBy("block").agg(F.ceil(F.sum("n") / TREE_SHINGLES).cast("int").alias("chunks"))
     own = placed.df.join(load, "block").withColumn("i", _chunk("chunks")).withColumns({"j": F.col("i"), "label": F.col("rep"), "asked": F.lit(True)})
 
@@ -521,8 +644,9 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10
     3. The rest, few in a corpus, meet in blocks: the components of sharing a
        signature (see ``signatures``). Nothing is lost, and a common passage
        alone does not bring two documents together.
-    4. Each block is joined on prefix trees (see ``_block_links``); no task holds
-       more than about ``TREE_SHINGLES``.
+    4. Each block is joined on prefix trees (see ``_block_links``), a large one
+       after exact sketches have cut it; no task holds more than about
+       ``TREE_SHINGLES``.
     5. Links that span the classes are merged by ``components``.
 
     Null and empty texts, and texts of white space, have no shingle and link with

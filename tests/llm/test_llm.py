@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -101,6 +102,60 @@ def test_classes_of_small_trees(spark, monkeypatch):
     assert got == brute_classes(texts, 4, 85, 100)
 
 
+def strangers_with_a_passage(count=120):
+    """Texts that share one long passage and little else, some of them with a near copy; their signatures chain them."""
+    rng, out = random.Random(4), []
+    passage = [f"p{i}" for i in range(60)]
+    for i in range(count):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(rng.randrange(20, 60))]
+        out.append((len(out), " ".join(own[: len(own) // 2] + passage + own[len(own) // 2 :])))
+        if not i % 5:
+            out.append((len(out), out[-1][1] + " more"))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [7, 8192])
+def test_a_common_passage_costs_no_pairs_of_chunks(spark, monkeypatch, chunk):
+    """A block of many classes is cut by sketches, so its sets' shingles do not go to every chunk of it."""
+    monkeypatch.setattr(ngram_join, "TREE_SHINGLES", 600)
+    monkeypatch.setattr(ngram_join, "CHUNK_SETS", chunk, raising=False)
+    texts, dealt, placed = strangers_with_a_passage(), [], []
+    trees, blocks = ngram_join._tree_links, ngram_join._block_links
+    monkeypatch.setattr(ngram_join, "_tree_links", lambda rows, *a: dealt.append(rows.count()) or trees(rows, *a))
+    monkeypatch.setattr(ngram_join, "_block_links", lambda kept, block, *a: placed.append(block.groupBy("component").count().agg(F.max("count")).first()[0]) or blocks(kept, block, *a))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == brute_classes(texts, 5, 8, 10)
+    assert placed[0] > 100  # they do meet in one block
+    assert sum(dealt) <= 2 * len(texts)
+
+
+def test_sketches_lose_no_link():
+    """What sizes and sketches let meet reaches every linked set, and with two sides every linked pair across them."""
+    rng = np.random.default_rng(5)
+    for num, den in ((85, 100), (8, 10), (1, 2), (1, 4)):
+        for _ in range(60):
+            members = []
+            while len(members) < 24:
+                base = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 300)), dtype=np.uint64))
+                for _ in range(int(rng.integers(1, 4))):
+                    less = base[rng.random(len(base)) > rng.choice([0, 0.05, 0.15, 0.4])]
+                    members.append(np.unique(np.concatenate([less, rng.integers(0, 1 << 63, int(rng.integers(1, 2 + len(base) // 8)), dtype=np.uint64)])))
+            sizes, sketches = [len(m) for m in members], [ngram_join.sketch(m) for m in members]
+            for sides in ([0] * len(members), rng.integers(0, 2, len(members)).tolist()):
+                parent = list(range(len(members)))
+                find = lambda i: i if parent[i] == i else find(parent[i])
+                pairs = ngram_join.near_sets(sizes, sketches, sides, num, den)
+                for a, b in pairs:
+                    assert len(set(sides)) == 1 or sides[a] != sides[b]
+                    assert find(a) != find(b)  # they span
+                    parent[find(a)] = find(b)
+                for a in range(len(members)):
+                    for b in range(a):
+                        both = len(np.intersect1d(members[a], members[b]))
+                        if (len(set(sides)) == 1 or sides[a] != sides[b]) and den * both >= num * (sizes[a] + sizes[b] - both):
+                            assert find(a) == find(b)
+
+
 def test_signatures_and_steps_meet():
     """Every linked pair shares a signature, and enough first steps, whatever its sizes."""
     rng = np.random.default_rng(3)
@@ -193,6 +248,23 @@ def test_no_key_meets_its_rows_in_one_task(spark):
     assert max(r["count"] for r in parts) < 2000
 
 
+def test_a_written_table_leaves_no_shuffle(spark):
+    """The shuffles of a write are dropped with it, not when the driver collects its garbage; the session's setting stays."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+", disk.getAllBlocks().toString()))
+    before, setting = shuffled(), spark.conf.get(common._CLEAN_SHUFFLES)
+    df = spark.range(1000).groupBy(F.col("id") % 7).count()
+    table = common.Written(df, "shuffled")
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffled() <= before
+    assert table.df.count() == 7 and df.count() == 7
+    assert spark.conf.get(common._CLEAN_SHUFFLES) == setting
+    table.drop()
+
+
 def test_scratch_drops_what_is_written_inside(spark):
     import os
 
