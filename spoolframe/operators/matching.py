@@ -26,7 +26,9 @@ def release_matches(wanted: DataFrame, offered: DataFrame, a: str, b: str, grams
     So names meet on the one piece of the shorter that fewest names of the other
     side have: pieces are counted by a combinable aggregation, each name chooses
     its rarest, and the join is an equi-join on that. A piece that all names
-    share, such as a common word, brings nothing together.
+    share, such as a common word, brings nothing together. Rows that pieces and
+    pairs multiply are many more than Spark estimates from the tables, so no join
+    may broadcast them: all are merge joins, whatever the size.
     """
     key = {"a": wanted.withColumn("ka", T.release_key(F.col(a))).where(F.length("ka") >= grams), "b": offered.withColumn("kb", T.release_key(F.col(b))).where(F.length("kb") >= grams)}
     pieces = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (grams - 1)), lambda i: F.substring(c, i, F.lit(grams)))))
@@ -34,14 +36,14 @@ def release_matches(wanted: DataFrame, offered: DataFrame, a: str, b: str, grams
     def held(short: str, long: str) -> DataFrame:
         names = {side: key[side].select(F.col(f"k{side}").alias("name")).distinct().select("name", pieces(F.col("name")).alias("piece")) for side in (short, long)}
         counts = names[long].groupBy("piece").agg(F.count("*").alias("n"))
-        met = names[short].join(counts, "piece", "left")
+        met = names[short].join(counts.hint("merge"), "piece", "left")
         rarest = met.groupBy("name").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"), F.min(F.coalesce("n", F.lit(0))).alias("n")).where("n > 0").drop("n")
-        found = rarest.join(names[long].withColumnRenamed("name", "other"), "piece").where(F.contains("other", "name") & (F.length("name") >= F.length("other") / 2))
+        found = rarest.join(names[long].withColumnRenamed("name", "other").hint("merge"), "piece").where(F.contains("other", "name") & (F.length("name") >= F.length("other") / 2))
         pairs = found.select(F.col("name").alias(f"k{short}"), F.col("other").alias(f"k{long}"))
         return pairs
 
     same = held("a", "b").unionByName(held("b", "a")).distinct()
-    return key["a"].join(same, "ka").join(key["b"], "kb").where(T.release_match(F.col("ka"), F.col("kb"))).drop("ka", "kb")
+    return key["a"].join(same.hint("merge"), "ka").join(key["b"].hint("merge"), "kb").where(T.release_match(F.col("ka"), F.col("kb"))).drop("ka", "kb")
 
 
 def best_per(rows: DataFrame, key: list[str], order: list[Column], n: int = 1) -> DataFrame:

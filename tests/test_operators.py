@@ -137,3 +137,13 @@ def test_plans(spark):
     assert [r.skip for r in planned.audio_plan(tracks, 0.5).collect()] == [None, "saves too little", None]
     with pytest.raises(ValueError):
         planned.native_plan(images, "magic")
+
+
+def test_release_matches_broadcast_nothing(spark, tmp_path):
+    """Pieces and pairs are many more rows than the estimate says; a plan that broadcasts them fails in the driver."""
+    spark.createDataFrame([("Some.Long.Film",), ("Another.Long.Film",)], "name string").write.parquet(f"{tmp_path}/names")
+    names = spark.read.parquet(f"{tmp_path}/names")
+    longer = names.select(F.concat(F.lit("x."), "name", F.lit(".1080p")).alias("release"))
+    got = matching.release_matches(names, longer, "name", "release")
+    assert {r["name"] for r in got.collect()} == {"Some.Long.Film", "Another.Long.Film"} and got.count() == 2
+    assert "Broadcast" not in got._jdf.queryExecution().sparkPlan().toString()
