@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..functions import versions as V
 from ..operators import formats, kernels, library, matching, metadata, packages, pages, planned
 from ..sources import files
-from .selection import table
+from .selection import dealt, table
 
 
 def _pick(values: list[str | None], n: Column) -> Column:
@@ -209,7 +209,7 @@ def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def version_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as releases with local parts and epochs against clauses that tell them apart."""
-    p = _parts(spark, sf_dir)
+    p = dealt(spark, sf_dir, "part", "p_partkey")
     n = F.col("p_partkey") % 6
     v = F.when(n == 0, "1.2+local.1").when(n == 1, "1!1.4.2").when(n == 2, "1.9").when(n == 3, "1.4").when(n == 4, "1.4.0.post1").otherwise("2.0a1")
     clauses = {"eq": "==1.2", "eq_local": "==1.2+local.1", "ne": "!=1.2", "wild": "==1.4.*", "unwild": "!=1.4.*", "short": "~=1", "near": "~=1.4", "epoch": "==1!1.4.*", "below": "<2.0", "odd": "==not-a-version", "over": ">1!0"}

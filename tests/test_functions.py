@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +101,25 @@ def test_specifiers(value, v, clause, want):
     assert value(V.satisfies(F.lit(v), F.lit(clause))) is want
 
 
+def test_clauses_that_tell_versions_apart(spark):
+    """Nulls, texts that are no version, spaces, long releases and numbers beyond any key's digits."""
+    rows = [
+        (None, "==1", None), ("1", None, None), ("1", "no operator", None), ("none", ">1", None), ("none", "===none", True), (" 1.0 ", "===1.0", True), ("none", "==none", None), ("1", "==none", False), ("1", "!=none", True), ("1", ">none", False), ("1", "~=1", False),
+        ("1.2+a", "==1.2", True), ("1.2", "==1.2+a", False), ("1.2+a", ">1.2", True), ("1!1.4", "==1.4.*", False), ("1!1.4", "~=1.4", False), ("1.4.0.post1", "~=1.4", True), ("1.4", "<1.4.*", False), ("1.0.0.0.0.0.1", ">1", True), ("1.0.0.0.0.0.0", "==1", True), ("1.12345678901", ">1.12345678900", True), ("1." + "9" * 50, ">1", True), ("9" * 5000, "==1", None),
+    ]
+    got = spark.createDataFrame(rows, "v string, c string, want boolean").select("v", "c", "want", V.satisfies("v", "c").alias("got"), V.satisfies_all("v", F.array("c")).alias("every"), V.satisfies_all("v", F.array().cast("array<string>")).alias("none")).collect()
+    assert [(r.v, r.c, r.got) for r in got] == rows and all(r.every is bool(r.want) and r.none is True for r in got)
+    assert spark.range(1).select(V.satisfies_all(F.lit("1"), F.lit(None).cast("array<string>"))).first()[0] is None
+
+
+def test_clauses_of_many_rows_take_seconds(spark):
+    """As expressions this took a quarter of a millisecond a check: half a minute and more of four tasks here."""
+    rows = spark.range(100_000).select(F.concat((F.col("id") % 50).cast("string"), F.lit("."), F.col("id").cast("string"), F.lit("rc1")).alias("v"))
+    began = time.perf_counter()
+    got = rows.select(*(V.satisfies("v", F.lit(c)).alias(f"c{i}") for i, c in enumerate([">=10", "<30", "!=20.*", "~=5.0"]))).agg(*(F.count_if(f"c{i}") for i in range(4))).first()
+    assert tuple(got) == (80_000, 60_000, 98_000, 2_000) and time.perf_counter() - began < 20
+
+
 def test_requirements_and_markers(value):
     got = value(V.requirement(F.lit("My_Lib[x, y] (>=1, <2); python_version < '3'")))
     assert got["name"] == "my-lib" and got["extras"] == ["x", "y"] and got["clauses"] == [">=1", "<2"] and got["marker"] == "python_version < '3'"
