@@ -51,12 +51,13 @@ def releases_of(texts: DataFrame, key: str, json_col: str = "json") -> DataFrame
 
     Versions that are none, and releases whose files are all withdrawn, give no
     row. The wheel is the first pure one with a digest, those for Python 3 alone
-    first. Text that is not such JSON gives no row.
+    first. Text that is not such JSON gives no row. The map of releases ends where
+    it is made into rows: no row carries its project's whole index along.
     """
     from ..functions.text import wheel_parts
 
-    parsed = texts.select(key, F.from_json(json_col, INDEX).alias("j")).where("j.releases IS NOT NULL")
-    each = parsed.select(key, F.col("j.info.name").alias("project"), F.explode("j.releases").alias("version", "all")).where(V.is_version(F.col("version")))
+    parsed = texts.select(key, F.from_json(json_col, INDEX).alias("j")).select(key, F.col("j.info.name").alias("project"), F.col("j.releases").alias("releases"))
+    each = parsed.select(key, "project", F.explode("releases").alias("version", "all")).where(V.is_version(F.col("version")))
     used = each.withColumn("usable", F.filter("all", lambda f: ~F.coalesce(f["yanked"], F.lit(False)))).where("size(usable) > 0")
 
     def pure(f: Column) -> Column:

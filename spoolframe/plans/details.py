@@ -170,12 +170,16 @@ def gallery_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brands as projects of a package index, whose JSON is read as releases with their wheels."""
+    """Brands as projects of a package index, whose JSON is read as releases with their wheels.
+
+    A brand's index comes in pages by ranges of part keys, so no text grows with the table.
+    """
     p = _parts(spark, sf_dir)
+    page = F.floor(F.col("p_partkey") / 20000)
     version = F.concat((F.col("p_size") % 5).cast("string"), F.lit("."), F.col("p_partkey").cast("string"))
     name = F.concat(F.lit("pkg-"), version, F.when(F.col("p_partkey") % 3 == 0, F.lit(".tar.gz")).otherwise(F.lit("-py3-none-any.whl")))
     file = F.struct(name.alias("filename"), F.when(F.col("p_partkey") % 3 == 0, "sdist").otherwise("bdist_wheel").alias("packagetype"), F.concat(F.lit("https://h/"), name).alias("url"), F.col("p_size").alias("size"), (F.col("p_partkey") % 4 == 0).alias("yanked"), F.when(F.col("p_size") % 2 == 0, F.lit(">=3.9")).alias("requires_python"), F.create_map(F.lit("sha256"), F.lit("AB")).alias("digests"))
-    made = p.groupBy("p_brand").agg(F.map_from_entries(F.collect_list(F.struct(version.alias("k"), F.array(file).alias("v")))).alias("releases"))
+    made = p.groupBy("p_brand", page.alias("page")).agg(F.map_from_entries(F.collect_list(F.struct(version.alias("k"), F.array(file).alias("v")))).alias("releases"))
     text = made.select("p_brand", F.to_json(F.struct(F.struct(F.col("p_brand").alias("name")).alias("info"), "releases")).alias("json"))
     got = packages.releases_of(text, "p_brand", "json")
     return got.select("p_brand", "project", "version", "requires_python", "files", "wheel", "sha256")

@@ -1,4 +1,5 @@
 import json
+import re
 
 import numpy as np
 import pytest
@@ -147,3 +148,29 @@ def test_release_matches_broadcast_nothing(spark, tmp_path):
     got = matching.release_matches(names, longer, "name", "release")
     assert {r["name"] for r in got.collect()} == {"Some.Long.Film", "Another.Long.Film"} and got.count() == 2
     assert "Broadcast" not in got._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_releases_do_not_carry_their_index(spark):
+    """A row that keeps its project's whole index makes a project of many releases cost the square of them."""
+    file = {"filename": "a-1-py3-none-any.whl", "packagetype": "bdist_wheel", "url": "u", "digests": {"sha256": "AB"}}
+    text = json.dumps({"info": {"name": "a"}, "releases": {f"1.{i}": [file] for i in range(3000)}})
+    got = packages.releases_of(spark.createDataFrame([("a", text), ("b", "no JSON"), ("c", '{"releases": null}')], "id string, json string"), "id")
+    carried = re.search(r"Generate explode\([^)]*\), \[([^\]]*)\]", got._jdf.queryExecution().sparkPlan().toString())[1]
+    assert {c.split("#")[0] for c in carried.split(", ")} == {"id", "project"}
+    assert got.count() == 3000 and got.agg(F.min("project"), F.min("sha256")).first() == ("a", "ab")
+
+
+def test_index_pages_are_bounded(spark, data, tmp_path):
+    """A brand's index is read in pages; no text holds all of its releases."""
+    from spoolframe.plans import details
+
+    spark.range(60_000).select(F.col("id").alias("p_partkey"), F.lit("Brand#1").alias("p_brand"), (F.col("id") % 50).cast("int").alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    held = []
+    real = packages.releases_of
+    packages.releases_of = lambda texts, *a: held.append(texts) or real(texts, *a)
+    try:
+        got = details.index_releases(spark, str(tmp_path))
+    finally:
+        packages.releases_of = real
+    assert got.count() == 45_000 and got.select("version").distinct().count() == 45_000
+    assert held[0].count() == 3
