@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import prefix_sums
+from .arrays import let, prefix_sums
 
 # Words that end a title in a release name.
 RELEASE_TAGS = [
@@ -137,20 +137,26 @@ def release_match(a: Column, b: Column) -> Column:
 
 
 def stamp(text: Column) -> Column:
-    """Seconds of a subtitle time [h:]mm:ss[,.]f{1,3}; null where it is none."""
-    pattern = r"^(?:(\d+):)?(\d{1,2}):(\d{1,2})(?:[,.](\d{1,3}))?$"
-    part = lambda i: F.nullif(F.regexp_extract(F.trim(text), pattern, i), F.lit(""))
-    h, m, s, f = (part(i) for i in (1, 2, 3, 4))
-    whole = F.coalesce(h.cast("long"), F.lit(0)) * 3600 + m.cast("long") * 60 + s.cast("long")
-    return F.when((m.cast("int") < 60) & (s.cast("int") < 60), whole + F.coalesce(F.rpad(f, 3, "0").cast("double"), F.lit(0.0)) / 1000)
+    """Seconds of a subtitle time [h:]mm:ss[,.]f{1,3}; null where it is none. Its parts come of one match."""
+    pattern = r"^(?:(\d+):)?(\d{1,2}):(\d{1,2})(?:[,.](\d{1,3}))?(?:\r\n|[\n\r\u0085\u2028\u2029])?\z"
+
+    def seconds(part: Column) -> Column:
+        h, m, s, f = (F.nullif(F.element_at(part, i), F.lit("")) for i in (1, 2, 3, 4))
+        whole = F.coalesce(h.cast("long"), F.lit(0)) * 3600 + m.cast("long") * 60 + s.cast("long")
+        return F.when((m.cast("int") < 60) & (s.cast("int") < 60), whole + F.coalesce(F.rpad(f, 3, "0").cast("double"), F.lit(0.0)) / 1000)
+
+    trimmed = F.trim(text)
+    return F.when(trimmed.rlike(pattern), let(F.split(F.regexp_replace(trimmed, pattern, "$1\x1f$2\x1f$3\x1f$4"), "\x1f"), seconds))
 
 
 def timing(line: Column) -> Column:
     """struct(start, end) of a line with -->; settings after the end are passed over."""
-    sides = F.split(line, "-->", 2)
-    right = F.regexp_extract(F.trim(F.try_element_at(sides, F.lit(2))), r"^(\S+)", 1)
-    start, end = stamp(sides[0]), stamp(right)
-    return F.when(start.isNotNull() & end.isNotNull(), F.struct(start.alias("start"), end.alias("end")))
+
+    def both(sides: Column) -> Column:
+        right = F.regexp_extract(F.trim(F.try_element_at(sides, F.lit(2))), r"^(\S+)", 1)
+        return F.struct(stamp(sides[0]).alias("start"), stamp(right).alias("end"))
+
+    return let(let(F.split(line, "-->", 2), both), lambda t: F.when(t["start"].isNotNull() & t["end"].isNotNull(), t))
 
 
 def stamped(seconds: Column, mark: str = ",") -> Column:

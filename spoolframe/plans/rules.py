@@ -102,7 +102,7 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def subtitle_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order prices as times: written, read back, and read from a timing line."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.round(F.col("o_totalprice") / 10, 3).alias("s"))
+    o = dealt(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", F.round(F.col("o_totalprice") / 10, 3).alias("s"))
     got = o.select("o_orderkey", T.stamped(F.col("s")).alias("written"), "s")
     line = T.timing(F.concat(F.col("written"), F.lit(" --> "), T.stamped(F.col("s") + 2, "."), F.lit(" align:start")))
     return got.select("o_orderkey", "written", F.round(T.stamp(F.col("written")), 3).alias("seconds"), F.round(line["end"], 3).alias("until"))

@@ -120,6 +120,16 @@ def test_clauses_of_many_rows_take_seconds(spark):
     assert tuple(got) == (80_000, 60_000, 98_000, 2_000) and time.perf_counter() - began < 20
 
 
+def test_subtitle_times_of_every_shape(spark):
+    """One match a time, not one for each of its parts and uses."""
+    rows = [("00:01", 1.0), ("1:02:03,5", 3723.5), ("01:02.250", 62.25), (" 0:00:59,999 ", 59.999), ("00:01\n", 1.0), ("60:00", None), ("00:60", None), ("100:00:00", 360000.0), ("0:1:2", 62.0), ("1", None), ("", None), (None, None), ("a\x1fb\x1fc\x1fd", None), ("00:01,1234", None)]
+    made = spark.createDataFrame(rows, "t string, want double").select("t", "want", T.stamp(F.col("t")).alias("got"), T.timing(F.concat(F.lit("00:00 --> "), F.col("t"), F.lit(" align:start"))).alias("line"))
+    got = made.collect()
+    assert [(r.t, r.got) for r in got] == rows
+    assert [r.line and tuple(r.line) for r in got] == [None if w is None else (0.0, w) for _, w in rows]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") + made._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") <= 6
+
+
 def test_requirements_and_markers(value):
     got = value(V.requirement(F.lit("My_Lib[x, y] (>=1, <2); python_version < '3'")))
     assert got["name"] == "my-lib" and got["extras"] == ["x", "y"] and got["clauses"] == [">=1", "<2"] and got["marker"] == "python_version < '3'"
