@@ -30,25 +30,28 @@ def planes(rgba: bytes, width: int, height: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _blur(x: np.ndarray) -> np.ndarray:
-    for axis in (0, 1):
-        pad = [(TAPS // 2, TAPS // 2) if a == axis else (0, 0) for a in (0, 1)]
+    """Pictures blurred, those of a stack at once; a picture is the last two axes."""
+    for axis in (-2, -1):
+        pad = [(0, 0)] * x.ndim
+        pad[axis] = (TAPS // 2, TAPS // 2)
         wide = np.pad(x, pad, mode="edge")
-        x = sum(_KERNEL[i] * np.take(wide, range(i, i + x.shape[axis]), axis=axis) for i in range(TAPS))
+        n = x.shape[axis]
+        x = sum(_KERNEL[i] * (wide[..., i : i + n, :] if axis == -2 else wide[..., i : i + n]) for i in range(TAPS))
     return x
 
 
 def similarity_map(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Structural similarity around every pixel; variances are not below zero."""
-    ma, mb = _blur(a), _blur(b)
-    va, vb = np.maximum(_blur(a * a) - ma * ma, 0), np.maximum(_blur(b * b) - mb * mb, 0)
-    cov = _blur(a * b) - ma * mb
+    ma, mb, aa, bb, ab = _blur(np.stack([a, b, a * a, b * b, a * b]))
+    va, vb = np.maximum(aa - ma * ma, 0), np.maximum(bb - mb * mb, 0)
+    cov = ab - ma * mb
     return (2 * ma * mb + C1) * (2 * cov + C2) / ((ma * ma + mb * mb + C1) * (va + vb + C2))
 
 
 def _half(x: np.ndarray) -> np.ndarray:
-    h, w = x.shape
-    x = np.pad(x, ((0, h % 2), (0, w % 2)), mode="edge")
-    return (x[::2, ::2] + x[1::2, ::2] + x[::2, 1::2] + x[1::2, 1::2]) / 4
+    h, w = x.shape[-2:]
+    x = np.pad(x, [(0, 0)] * (x.ndim - 2) + [(0, h % 2), (0, w % 2)], mode="edge")
+    return (x[..., ::2, ::2] + x[..., 1::2, ::2] + x[..., ::2, 1::2] + x[..., 1::2, 1::2]) / 4
 
 
 def compare(a: bytes, b: bytes, width: int, height: int) -> tuple[float, float] | None:
@@ -57,7 +60,7 @@ def compare(a: bytes, b: bytes, width: int, height: int) -> tuple[float, float]
     if pa is None or pb is None:
         return None
     luma = similarity_map(pa[0], pb[0])
-    chroma = [similarity_map(_half(x), _half(y)).mean() for x, y in zip(pa[1:], pb[1:])]
+    chroma = [m.mean() for m in similarity_map(_half(np.stack(pa[1:])), _half(np.stack(pb[1:])))]
     rows, columns = np.arange(0, height, TILE), np.arange(0, width, TILE)
     sums = np.add.reduceat(np.add.reduceat(luma.astype(np.float64), rows, 0), columns, 1)
     sizes = np.outer(np.diff(np.append(rows, height)), np.diff(np.append(columns, width)))

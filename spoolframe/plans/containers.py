@@ -9,7 +9,7 @@ from ..functions import versions as V
 from ..operators import kernels, packages, planned
 from ..sources import files, sinks
 from ..streaming import progress
-from .selection import table
+from .selection import dealt, table
 
 
 def _be(number: Column, size: int) -> Column:
@@ -54,7 +54,7 @@ def editable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def image_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as picture headers; every seventh is no picture."""
-    p = table(spark, sf_dir, "part")
+    p = dealt(spark, sf_dir, "part", "p_partkey")
     good = F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), _be(F.col("p_size"), 4), _be(F.floor("p_retailprice"), 4), F.unhex(F.lit("0806000000")))
     content = F.when(F.col("p_partkey") % 7 == 0, _bytes("none")).otherwise(good)
     return files.parse(p.select("p_partkey", content.alias("content")), "image_info", ["p_partkey"]).select("p_partkey", "format", "width", "height", "frames", "error")
@@ -71,7 +71,7 @@ def wave_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def package_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as package metadata with a continuation line."""
-    p = table(spark, sf_dir, "part")
+    p = dealt(spark, sf_dir, "part", "p_partkey")
     text = F.concat(F.lit("Name: "), "p_name", F.lit("\nSummary: "), "p_type", F.lit("\n  "), "p_brand", F.lit("\n\nbody: none\n"))
     return files.parse(p.select("p_partkey", F.encode(text, "UTF-8").alias("content")), "package_metadata", ["p_partkey"]).select("p_partkey", "pos", "field", "value")
 
@@ -110,7 +110,7 @@ def guarded_function(spark: SparkSession, sf_dir: str) -> DataFrame:
             raise ValueError("no inverse")
         return v * 2.0
 
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    p = dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", "p_size")
     return kernels.guarded(p, inverse, F.col("p_size"), "double").select("p_partkey", "status", "value", "error")
 
 
@@ -119,7 +119,7 @@ def similarity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A row is 64 bytes; only the last is padded. An empty text is one row of padding, a null text has null scores.
     """
-    d = table(spark, sf_dir, "documents")
+    d = dealt(spark, sf_dir, "documents", "doc_id")
     body = F.encode("text", "UTF-8")
     height = F.greatest(F.ceil(F.octet_length(body) / 64), F.lit(1)).cast("int")
     rows = d.select("doc_id", body.alias("body"), F.when(F.col("text").isNotNull(), height).alias("h"))
