@@ -245,7 +245,7 @@ def flash_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flash_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as fifteen-bit pictures of two by one pixels in a stored stream, as PNG."""
-    p = _parts(spark, sf_dir)
+    p = dealt(spark, sf_dir, "part", "p_partkey")
     be = lambda c, n: F.unhex(F.lpad(F.hex(c.cast("long")), 2 * n, "0"))
     value = (F.col("p_size") % 32) * 1024 + (F.col("p_partkey") % 32)
     high, low = F.shiftright(value.cast("int"), 8), value.bitwiseAND(F.lit(255))
@@ -329,7 +329,7 @@ def network_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def picture_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as flat and mixed pictures of two by two pixels: flat, detail, and set into a canvas of four."""
-    c = table(spark, sf_dir, "customer")
+    c = dealt(spark, sf_dir, "customer", "c_custkey")
     be = lambda c: F.unhex(F.lpad(F.hex(c.cast("long")), 2, "0"))
     one, other = F.concat(be(F.col("c_nationkey")), F.unhex(F.lit("1020FF"))), F.unhex(F.lit("F0F0F0FF"))
     rgba = F.when(F.col("c_custkey") % 2 == 0, F.concat(one, one, one, one)).otherwise(F.concat(one, other, other, other))
