@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metadata
 from ..sources import files
 from .containers import _be, _bytes
-from .selection import table
+from .selection import dealt, table
+
+
+@dataclass(frozen=True)
+class _Made:
+    """Bytes and how many they are: a length asked of nested bytes would have them made once more at every level."""
+
+    content: Column
+    size: Column
+
 
+def _joined(*parts: Column | _Made) -> _Made:
+    made = [p if isinstance(p, _Made) else _Made(p, F.octet_length(p)) for p in parts]
+    return _Made(F.concat(_bytes(""), *(p.content for p in made)), sum((p.size for p in made), F.lit(0)))
 
-def _box(tag: str, *parts: Column) -> Column:
-    body = F.concat(*parts) if parts else _bytes("")
-    return F.concat(_be(F.octet_length(body) + 8, 4), _bytes(tag), body)
+
+def _box(tag: str, *parts: Column | _Made) -> _Made:
+    body = _joined(*parts)
+    size = body.size + 8
+    return _Made(F.concat(_be(size, 4), _bytes(tag), body.content), size)
 
 
 def _hex(digits: str) -> Column:
@@ -29,13 +45,13 @@ def _sample(text: Column) -> Column:
     return F.concat(_be(F.octet_length(raw), 2), raw)
 
 
-def _text(value: Column) -> Column:
+def _text(value: Column) -> _Made:
     return _box("data", _num(1, 4), _num(0, 4), F.encode(value, "UTF-8"))
 
 
 def _movies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as films: a subtitle track with the name for one second and the type for two, three chapters, and items."""
-    p = table(spark, sf_dir, "part")
+    p = dealt(spark, sf_dir, "part", "p_partkey")
     one, two = _sample(F.col("p_name")), _sample(F.col("p_type"))
     media = F.concat(one, two)
     sizes = F.concat(_be(F.octet_length(one), 4), _be(F.octet_length(two), 4))
@@ -51,8 +67,8 @@ def _movies(spark: SparkSession, sf_dir: str) -> DataFrame:
     chapters = _box("chpl", _hex("0100000000000000"), _num(3, 1), title(0, F.lit("start")), title(1, F.col("p_brand")), title(2, F.lit("end")))
     items = _box("ilst", _box("\xa9nam", _text(F.col("p_name"))), _box("trkn", _box("data", _num(0, 8), _num(0, 2), _be(F.col("p_size"), 2), _num(50, 2), _num(0, 2))), _box("tvsn", _box("data", _num(21, 4), _num(0, 4), _be(F.col("p_size"), 1))))
     user = _box("udta", chapters, _box("meta", _num(0, 4), items))
-    content = F.concat(_num(12, 4), _bytes("ftypisom"), _box("mdat", media), _box("moov", _box("mvhd", _hex("00" * 12), _num(1000, 4), _num(3000, 4), _hex("00" * 80)), _box("trak", tkhd, mdia), user))
-    return p.select("p_partkey", content.alias("content"), "p_name", "p_size")
+    content = _joined(_num(12, 4), _bytes("ftypisom"), _box("mdat", media), _box("moov", _box("mvhd", _hex("00" * 12), _num(1000, 4), _num(3000, 4), _hex("00" * 80)), _box("trak", tkhd, mdia), user))
+    return p.select("p_partkey", content.content.alias("content"), "p_name", "p_size")
 
 
 def movie_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,25 +101,28 @@ def movie_retagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
     wanted = F.array(pair("\xa9nam", F.upper("p_name")), pair("----:com.example:note", F.col("p_size").cast("string")))
     made = files.tagged(_movies(spark, sf_dir).withColumn("items", wanted), "content", "items").select("p_partkey", F.col("tagged.content").alias("content"))
-    kept = made.select("p_partkey", "content")
-    items = files.parse(kept, "movie_items", ["p_partkey"]).select("p_partkey", F.lit("item").alias("what"), "pos", F.concat_ws("=", "key", "text").alias("text"))
-    cues = files.parse(kept, "movie_cues", ["p_partkey"]).select("p_partkey", F.lit("cue").alias("what"), "pos", "text")
-    chapters = files.parse(kept, "movie_chapters", ["p_partkey"]).select("p_partkey", F.lit("chapter").alias("what"), "pos", F.col("title").alias("text"))
-    return items.unionByName(cues).unionByName(chapters)
+    got = files.parse_each(made, ["movie_items", "movie_cues", "movie_chapters"], ["p_partkey"])
+    what = F.when(F.col("parser") == "movie_items", "item").when(F.col("parser") == "movie_cues", "cue").otherwise("chapter")
+    text = F.when(F.col("parser") == "movie_items", F.concat_ws("=", "key", "text")).when(F.col("parser") == "movie_cues", F.col("text")).otherwise(F.col("title"))
+    return got.select("p_partkey", what.alias("what"), "pos", text.alias("text"))
 
 
 def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of parts as ID3 tags: a title, a track of fifty, a comment, a field of its own and a picture."""
-    p = table(spark, sf_dir, "part")
-    frame = lambda name, body: F.concat(_bytes(name), _be(F.octet_length(body), 4), _num(0, 2), body)
+    p = dealt(spark, sf_dir, "part", "p_partkey")
+
+    def frame(name: str, *parts: Column) -> _Made:
+        body = _joined(*parts)
+        return _Made(F.concat(_bytes(name), _be(body.size, 4), _num(0, 2), body.content), body.size + 10)
+
     utf8 = lambda c: F.encode(c, "UTF-8")
-    body = F.concat(
-        frame("TIT2", F.concat(_num(3, 1), utf8(F.col("p_name")))), frame("TRCK", F.concat(_num(3, 1), utf8(F.concat(F.col("p_size").cast("string"), F.lit("/50"))))), frame("COMM", F.concat(_num(3, 1), _bytes("eng"), _num(0, 1), utf8(F.col("p_type")))),
-        frame("TXXX", F.concat(_num(3, 1), _bytes("brand"), _num(0, 1), utf8(F.col("p_brand")))), frame("APIC", F.concat(_num(3, 1), _bytes("image/png"), _num(0, 1), _num(3, 1), _num(0, 1), _hex("89504E470D0A1A0A"), _be(F.col("p_size"), 4))),
+    body = _joined(
+        frame("TIT2", _num(3, 1), utf8(F.col("p_name"))), frame("TRCK", _num(3, 1), utf8(F.concat(F.col("p_size").cast("string"), F.lit("/50")))), frame("COMM", _num(3, 1), _bytes("eng"), _num(0, 1), utf8(F.col("p_type"))),
+        frame("TXXX", _num(3, 1), _bytes("brand"), _num(0, 1), utf8(F.col("p_brand"))), frame("APIC", _num(3, 1), _bytes("image/png"), _num(0, 1), _num(3, 1), _num(0, 1), _hex("89504E470D0A1A0A"), _be(F.col("p_size"), 4)),
     )
-    n = F.octet_length(body)
+    n = body.size
     size = F.concat(*(_be(F.shiftright(n, s).bitwiseAND(F.lit(127)), 1) for s in (21, 14, 7, 0)))
-    content = F.concat(_bytes("ID3"), _hex("030000"), size, body)
+    content = F.concat(_bytes("ID3"), _hex("030000"), size, body.content)
     return files.parse(p.select("p_partkey", content.alias("content")), "id3_frames", ["p_partkey"])
 
 
@@ -121,14 +140,18 @@ def id3_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _flash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as Flash files: a payload in a sprite, sound in blocks, and a tag of an odd code."""
-    p = table(spark, sf_dir, "part")
+    p = dealt(spark, sf_dir, "part", "p_partkey")
     swap = lambda c, n: F.concat(*(_be(F.shiftright(c.cast("long"), 8 * i).bitwiseAND(F.lit(255)), 1) for i in range(n)))
-    tag = lambda code, body: F.concat(swap(F.lit(code * 64 + 63), 2), swap(F.octet_length(body), 4), body)
+
+    def tag(code: int, *parts: Column | _Made) -> _Made:
+        body = _joined(*parts)
+        return _Made(F.concat(swap(F.lit(code * 64 + 63), 2), swap(body.size, 4), body.content), body.size + 6)
+
     name = F.encode("p_name", "UTF-8")
-    sprite = F.concat(swap(F.col("p_size"), 2), swap(F.lit(1), 2), tag(87, F.concat(swap(F.lit(9), 2), _num(0, 4), name)), tag(0, _bytes("")))
-    head, block = tag(18, _hex("002A0000")), lambda text: tag(19, F.concat(_hex("00000000"), F.encode(text, "UTF-8")))
-    body = F.concat(_hex("00"), swap(F.lit(24 * 256), 2), swap(F.col("p_size"), 2), tag(9, _hex("FFFFFF")), tag(39, sprite), head, block(F.col("p_brand")), tag(60, _hex("0100020003000400000400")), block(F.col("p_type")), tag(0, _bytes("")))
-    content = F.concat(_bytes("FWS"), _num(8, 1), swap(F.octet_length(body) + 8, 4), body)
+    sprite = _joined(swap(F.col("p_size"), 2), swap(F.lit(1), 2), tag(87, swap(F.lit(9), 2), _num(0, 4), name), tag(0, _bytes("")))
+    head, block = tag(18, _hex("002A0000")), lambda text: tag(19, _hex("00000000"), F.encode(text, "UTF-8"))
+    body = _joined(_hex("00"), swap(F.lit(24 * 256), 2), swap(F.col("p_size"), 2), tag(9, _hex("FFFFFF")), tag(39, sprite), head, block(F.col("p_brand")), tag(60, _hex("0100020003000400000400")), block(F.col("p_type")), tag(0, _bytes("")))
+    content = F.concat(_bytes("FWS"), _num(8, 1), swap(body.size + 8, 4), body.content)
     return p.select("p_partkey", content.alias("content"))
 
 
@@ -157,7 +180,7 @@ def flash_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pdf_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as PDF files of one to five pages, whose title is written in brackets or in hex."""
-    p = table(spark, sf_dir, "part")
+    p = dealt(spark, sf_dir, "part", "p_partkey")
     n = F.col("p_size") % 5 + 1
     title = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("("), "p_name", F.lit(")"))).otherwise(F.concat(F.lit("<"), F.hex(F.encode("p_name", "UTF-8")), F.lit(">")))
     text = F.concat(

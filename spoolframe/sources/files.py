@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import media as M
 from . import containers, documents, movies
@@ -27,6 +27,8 @@ MOST_BYTES = (1 << 31) - 1
 UNREADABLE = (struct.error, IndexError, KeyError, OverflowError, RecursionError, ValueError, zlib.error)
 #: Rows that are put together before they go back to Spark.
 BATCH_ROWS = 2000
+#: Bytes of files whose rows are put together.
+BATCH_BYTES = 32 << 20
 
 
 def reason(error: Exception) -> str:
@@ -58,30 +60,67 @@ def parse(files: DataFrame, parser: str, keep: list[str], content: str = "conten
     file never stops a run. Null bytes give such a row too. Files are parsed where
     they are read; nothing is shuffled.
     """
-    function, columns = PARSERS[parser]
+    return _parsed(files, [parser], keep, content, StructType.fromDDL(PARSERS[parser][1]), False)
+
+
+def parse_each(files: DataFrame, parsers: list[str], keep: list[str], content: str = "content") -> DataFrame:
+    """Rows of several parsers in one pass over the bytes, which are made or read once: as ``parse`` of each, with ``parser``.
+
+    A column that several parsers have is one, and is null in the rows of those that lack it.
+    """
+    columns: dict[str, StructField] = {}
+    for parser in parsers:
+        for c in StructType.fromDDL(PARSERS[parser][1]).fields:
+            if columns.setdefault(c.name, c).dataType != c.dataType:
+                raise ValueError(f"the parsers differ in the type of {c.name!r}")
+    return _parsed(files, parsers, keep, content, StructType([*columns.values()]), True)
+
+
+def _parsed(files: DataFrame, parsers: list[str], keep: list[str], content: str, columns: StructType, named: bool) -> DataFrame:
+    functions = [(p, PARSERS[p][0]) for p in parsers]
     kept = files.select(*keep).schema
-    out = StructType([*kept.fields, *StructType.fromDDL(columns).fields, *StructType.fromDDL("error string").fields])
+    out = StructType([*kept.fields, *columns.fields, *StructType.fromDDL(("parser string, " if named else "") + "error string").fields])
     shape = to_arrow_schema(out)
-    names = StructType.fromDDL(columns).names
+
+    def failed(own: dict, error: Exception) -> list[dict]:
+        return [{**own, **dict.fromkeys(columns.names), "error": reason(error)}]
+
+    def together(held: list[tuple[dict, list[dict]]]) -> Iterator[pa.RecordBatch]:
+        """The rows of several files at once; file by file only where one has a value that its column cannot hold."""
+        try:
+            yield pa.RecordBatch.from_pylist([r for _, rows in held for r in rows], schema=shape)
+            return
+        except UNREADABLE:
+            pass
+        for own, rows in held:
+            try:
+                made = pa.RecordBatch.from_pylist(rows, schema=shape)
+            except UNREADABLE as e:
+                made = pa.RecordBatch.from_pylist(failed(own, e), schema=shape)
+            yield made
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held, count, size = [], 0, 0
         for batch in batches:
-            for i in range(len(batch)):
-                own = {k: batch.column(j)[i].as_py() for j, k in enumerate(kept.names)}
-                data = batch.column(len(kept.names))[i].as_py()
-                try:
-                    if data is None:
-                        raise BadFile("no bytes")
-                    made = pa.RecordBatch.from_pylist([{**own, **r, "error": None} for r in function(data)], schema=shape)
-                except UNREADABLE as e:
-                    made = pa.RecordBatch.from_pylist([{**own, **dict.fromkeys(names), "error": reason(e)}], schema=shape)
-                held.append(made)
-                if sum(map(len, held)) >= BATCH_ROWS or len(held) >= BATCH_ROWS:
-                    yield from pa.Table.from_batches(held, shape).combine_chunks().to_batches()
-                    held = []
+            contents = batch.column(len(kept.names))
+            for i, keys in enumerate(batch.select(kept.names).to_pylist()):
+                data = contents[i].as_py()
+                for name, function in functions:
+                    own = {**keys, "parser": name} if named else keys
+                    try:
+                        if data is None:
+                            raise BadFile("no bytes")
+                        rows = [{**own, **r, "error": None} for r in function(data)]
+                    except UNREADABLE as e:
+                        rows = failed(own, e)
+                    held.append((own, rows))
+                    count += len(rows)
+                size += len(data or b"")
+                if count >= BATCH_ROWS or len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+                    yield from together(held)
+                    held, count, size = [], 0, 0
         if held:
-            yield from pa.Table.from_batches(held, shape).combine_chunks().to_batches()
+            yield from together(held)
 
     return files.select(*keep, content).mapInArrow(run, out)
 
@@ -149,6 +188,11 @@ def tagged(rows: DataFrame, content: str, items: str, out: str = "tagged") -> Da
     return rows.withColumn(out, made(content, items))
 
 
+def _by_key(rows: DataFrame, key: str) -> DataFrame:
+    """Rows with those of a key in one task, in as many tasks as a shuffle has: small rows are not put together in a few, as files are made of them."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _one_file(rows: DataFrame, key: str, order: str, columns: list[str], make: Callable[[pd.DataFrame], bytes]) -> DataFrame:
     """``(key, content, error)``: a file of each key's rows in order. A file is one value, so it is made in one task."""
 
@@ -160,7 +204,7 @@ def _one_file(rows: DataFrame, key: str, order: str, columns: list[str], make: C
         return pd.DataFrame({key: [group[key].iloc[0]], "content": [content], "error": [error]})
 
     kept = rows.select(key, order, *columns)
-    return kept.groupBy(key).applyInPandas(run, f"{key} {kept.schema[key].dataType.simpleString()}, content binary, error string")
+    return _by_key(kept, key).groupBy(key).applyInPandas(run, f"{key} {kept.schema[key].dataType.simpleString()}, content binary, error string")
 
 
 def pdf_books(pages: DataFrame, key: str, order: str, content: str) -> DataFrame:
@@ -182,4 +226,4 @@ def book(pages: DataFrame, key: str, order: str, name: str, content: str) -> Dat
         return pd.DataFrame({key: [group[key].iloc[0]], content: [containers.zip_write(list(zip(group[name], group[content])))]})
 
     kept = pages.select(key, order, name, content)
-    return kept.groupBy(key).applyInPandas(make, f"{key} {kept.schema[key].dataType.simpleString()}, {content} binary")
+    return _by_key(kept, key).groupBy(key).applyInPandas(make, f"{key} {kept.schema[key].dataType.simpleString()}, {content} binary")

@@ -219,3 +219,39 @@ def test_prefix_sums(spark):
 
     rows = spark.createDataFrame([(1, list(range(1000))), (2, [])], "id int, n array<int>").select("id", prefix_sums(F.col("n")).alias("s")).collect()
     assert {r.id: r.s for r in rows} == {1: [i * (i + 1) // 2 for i in range(1000)], 2: []}
+
+
+@pytest.mark.parametrize("name", ["movie_retagged", "pdf_facts", "movie_lengths", "flash_assets", "movie_items", "flash_headers", "movie_tracks", "movie_cues", "id3_extras", "picture_kernels", "flash_pictures", "movie_chapters", "pdf_pages", "flash_manifest", "movie_samples", "similarity_scores", "subtitle_times", "image_headers", "package_fields", "book_pages", "animated_png"])
+def test_narrow_rows_are_dealt_to_all_tasks(spark, data, name):
+    """A packed table is one or two tasks where it is read; the work on its rows is done in all of them, once; ID3 extras take two passes."""
+    from spoolframe.plans.catalog import QUERIES
+
+    plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == (2 if name == "id3_extras" else 1)
+
+
+def test_several_parsers_in_one_pass(spark):
+    """As one after another; null bytes and bytes that are no movie have their reasons for each parser."""
+    from spoolframe.plans import recordings
+    from spoolframe.sources import files
+
+    names = ["movie_items", "movie_cues", "movie_chapters"]
+    bad = spark.createDataFrame([(-1, None), (-2, bytearray(b"none")), (-3, bytearray(b"\0\0\0\x0cmoov\0\0\0\x09"))], "p_partkey long, content binary")
+    made = recordings._movies(spark, "/root/testdata/sf0.001").select("p_partkey", "content").unionByName(bad)
+    got = files.parse_each(made, names, ["p_partkey"])
+    for name in names:
+        one = files.parse(made, name, ["p_partkey"])
+        assert sorted(map(str, one.collect())) == sorted(map(str, got.where(F.col("parser") == name).select(*one.columns).collect()))
+
+
+def test_one_bad_value_is_its_own_row(spark, monkeypatch):
+    """Rows are put together by the batch; a value that its column cannot hold takes no other file's rows along."""
+    from spoolframe.sources import files
+
+    def size(data):
+        return [{"size": 1 << 40 if data == b"big" else len(data)}]
+
+    monkeypatch.setitem(files.PARSERS, "size", (size, "size int"))
+    rows = spark.createDataFrame([(i, bytearray(b"big" if i == 5 else b"x" * i)) for i in range(10)], "id int, content binary").coalesce(1)
+    got = {r.id: (r.size, r.error) for r in files.parse(rows, "size", ["id"]).collect()}
+    assert len(got) == 10 and got.pop(5)[1] and all(v == (k, None) for k, v in got.items())
